@@ -1,0 +1,18 @@
+"""Queries of the library's own operators, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    high = F.col("value") > 100
+    return events.select("event_id", F.when(high, F.lit("true")).otherwise(F.lit("false")).alias("route"), F.when(high, F.upper("event_type")).alias("result"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
