@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import chosen_path, decontaminate, language_id, line_dedup, piece_codec, quality_rules, url_cascade
+from weft.llm import chosen_path, decontaminate, host_consensus, language_id, line_dedup, piece_codec, quality_rules, subword_quality, toxicity, url_cascade
+from weft.llm import labels as label_sample
 from weft.llm.arrowtext import crc32_mod, table
 
 
@@ -41,6 +42,26 @@ def op4_piece_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.with_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_mod("doc_id", 4) == 2
+    rows = label_sample.sample(docs, table(spark, sf_dir, "labels"), "quality", ~held_out, {0: subword_quality.PER_CLASS, 1: subword_quality.PER_CLASS}, subword_quality.SAMPLE_BYTES)
+    model = subword_quality.fit([x for x, _ in rows], [y for _, y in rows])
+    return subword_quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_consensus.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_mod("doc_id", 5) == 0
+    rows = label_sample.sample(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out, {0: toxicity.CLEAN_TEXTS, 1: toxicity.TOXIC_TEXTS}, toxicity.SAMPLE_BYTES)
+    model = toxicity.fit([x for x, _ in rows], [y for _, y in rows])
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -100,7 +121,7 @@ v AS (
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM p)
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(host, '(^|[.-])(%s)([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM v
+  WHEN regexp_matches(host, '(^|[.-])(WORDS)([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM v
 """.replace("WORDS", "|".join(url_cascade.LISTED_WORDS))
 
 OP10_SQL = r"""
@@ -127,6 +148,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_codes": op2_language_codes,
     "op3_line_runs": op3_line_runs,
     "op4_piece_prefixes": op4_piece_prefixes,
+    "op5_subword_quality": op5_subword_quality,
+    "op6_host_consensus": op6_host_consensus,
+    "op7_toxicity": op7_toxicity,
     "op8_url_cascade": op8_url_cascade,
     "op9_chosen_path": op9_chosen_path,
     "op10_passages": op10_passages,
