@@ -43,8 +43,8 @@ THRESHOLD = 0.8
 RECALL = 0.9998
 T = 128
 DEPTH = 3
-SMALL = 128
-BLOCK = 64
+SMALL = 256
+BLOCK = 256
 
 _punctuation = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 _multipliers = np.random.default_rng(99).integers(1, 2**63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
