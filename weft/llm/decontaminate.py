@@ -105,16 +105,17 @@ def examine(automata: list[Automaton], texts: pa.Array) -> list[tuple[int, np.nd
 _built: dict[tuple, Automaton] = {}
 
 
-def _use(shards: list, k: int, n: int) -> Automaton:
-    key = (shards[k].id if hasattr(shards[k], "id") else id(shards[k]), n)
+def _use(shard: tuple[str, object], n: int) -> Automaton:
+    """The automaton of a shard, kept by its texts' digest while a worker uses it; one at a time."""
+    key = (shard[0], n)
     if key not in _built:
-        _built.clear()  # one automaton at a time
-        _built[key] = Automaton(shards[k].value, n)
+        _built.clear()
+        _built[key] = Automaton(shard[1].value, n)
     return _built[key]
 
 
 def patterns(benchmark: DataFrame, item: str = "item_id", text: str = "text", most_words: int = MOST_WORDS) -> list:
-    """Broadcasts of (item, text) lists, each with at most about ``most_words`` words."""
+    """(digest, broadcast) of (item, text) lists, each with at most about ``most_words`` words."""
     spark = benchmark.sparkSession
     rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull()).distinct()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
@@ -126,7 +127,8 @@ def patterns(benchmark: DataFrame, item: str = "item_id", text: str = "text", mo
         if got is None:
             raise ValueError("benchmark items are far from evenly spread by their hash")
         if got or parts == 1:
-            out.append(spark.sparkContext.broadcast([(r.i, r.t) for r in got]))
+            items = sorted(((r.i, r.t) for r in got), key=repr)
+            out.append((hashlib.sha256(repr(items).encode()).hexdigest(), spark.sparkContext.broadcast(items)))
     return out
 
 
@@ -141,8 +143,8 @@ def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
         for batch in batches:
             for part in slices(batch, "__text"):
                 total: list[list] = []
-                for k in range(len(shards)):
-                    found = examine([_use(shards, k, n)], part.column("__text"))
+                for shard in shards:
+                    found = examine([_use(shard, n)], part.column("__text"))
                     total = [[w, hit, items] for w, hit, items in found] if not total else [[w, a | hit, b | items] for (w, a, b), (_, hit, items) in zip(total, found, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in names]
