@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import chosen_path, decontaminate, language_id, line_dedup, piece_codec
-from weft.llm.arrowtext import table
+from weft.llm.arrowtext import cut, small_batches, table
 from weft.llm.queries import tokenizer_path
 
 #: A margin between the two best codewords below this is no decision.
@@ -38,12 +41,26 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return piece_codec.with_digests(docs, tokenizer_path())
 
 
-STAGES = [
-    ("language_id", identify_language),
-    ("line_dedup", drop_repeated_lines),
-    ("ngram_jaccard", keep_one_of_near_copies),
-    ("decontamination", drop_benchmark_passages),
-    ("sentencepiece", encode_pieces),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """Whole texts are long, so that a stage reads few of them at once."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", in_small_batches(identify_language)),
+    ("line_dedup", in_small_batches(drop_repeated_lines)),
+    ("ngram_jaccard", in_small_batches(keep_one_of_near_copies)),
+    ("decontamination", in_small_batches(drop_benchmark_passages)),
+    ("sentencepiece", in_small_batches(encode_pieces)),
 ]
 
 #: The language model, the sampled paths and the merges of the tokenizer can't be told in SQL.
@@ -52,8 +69,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; each one's rows are written before the next begins, so that it can be lost and read again."""
-    from weft.llm.arrowtext import cut
-
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
