@@ -187,3 +187,20 @@ def test_native_rules_agree(spark):
     for r in compiled[:3]:
         got += [(i.path, i.code) for i in tree.select(rules.rule_issues(r, F.col("message")).alias("x")).first().x]
     assert sorted(got) == sorted((p, c) for p, _, c, _ in want)
+
+
+def test_engine_formats(spark):
+    from weft.operators import engine
+
+    df = spark.createDataFrame([('{"name":"bob"}', '[{"Age":"x"}]', HL7)], "j string, c string, h string")
+    assert engine.process(df, "j", SCHEMA, "json").first().valid
+    assert not engine.process(df, "c", {"columnHeaders": {"Age": {"type": "NUMBER"}}}, "CSV").first().valid
+    assert engine.validate_only(df, "h", HL7_SCHEMA, "hl7", J.Options(True)).first().errors
+    with pytest.raises(ValueError):
+        engine.process(df, "j", SCHEMA, "xml")
+
+
+def test_fewest_brackets(spark):
+    flat = F.parse_json(F.lit('{"n-/a[0]/f[1]":1,"n-/a/f[1]":2,"n-/b":3}')).cast("map<string,variant>")
+    got = D.fewest_brackets(spark.range(1).select("id", flat.alias("m")), "m", "id").select("path", F.to_json(F.struct("value")).alias("v")).collect()
+    assert {r.path: json.loads(r.v)["value"] for r in got} == {"/a/f": 2, "/b": 3}

@@ -40,6 +40,8 @@ def result(data: Column, error: Column | None = None) -> Column:
 
 def document(**members: Column) -> Column:
     """An object of VARIANT members; a null one is a JSON null."""
+    if not members:
+        return J._to_object(J._empty_map())
     null = F.parse_json(F.lit("null"))
     return J._to_object(F.map_from_arrays(F.array(*[F.lit(k) for k in members]), F.array(*[F.coalesce(v, null) for v in members.values()])))
 

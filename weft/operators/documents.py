@@ -201,3 +201,16 @@ def _arrays(x):
     if x and all(isinstance(k, int) for k in x):
         return [_arrays(x.get(i)) for i in range(max(x) + 1)]
     return {str(k): _arrays(v) for k, v in x.items()}
+
+
+def fewest_brackets(df: DataFrame, flat: str, *keys: str) -> DataFrame:
+    """Of keys that differ only in numbers inside the path, the one with the fewest; (keys, node_id, path, idx, value)."""
+    from pyspark.sql import Window
+
+    rows = df.select(*keys, F.explode(flat).alias("key", "value"))
+    plain = F.regexp_replace(paths.key_path(F.col("key")), r"\[\d+\]", "")
+    rows = rows.select(*keys, "key", paths.key_node(F.col("key")).alias("node_id"), plain.alias("path"), paths.key_index(F.col("key")).alias("idx"), "value")
+    last = F.coalesce(F.get(F.reverse("idx"), F.lit(0)), F.lit(-1))
+    w = Window.partitionBy(*keys, "node_id", "path", "__last").orderBy(F.size("idx"), "key")
+    best = rows.withColumn("__last", last).withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    return best.select(*keys, "node_id", "path", "idx", "value")

@@ -546,6 +546,88 @@ def u01_python_node(spark, sf_dir):
     return out.select("event_id", F.try_variant_get("o.data", "$.result", "string").alias("result"))
 
 
+def _typed_events(spark: SparkSession, sf_dir: str, node: str, settings: dict, **members: Column) -> DataFrame:
+    """A node over a document of each event: its output as ``o``."""
+    doc = F.call_function("to_variant_object", F.struct(*[v.alias(k) for k, v in members.items()]))
+    rows = read(spark, sf_dir, "events").select("event_id", doc.alias("d"))
+    return rows.select("event_id", N.NODES[node](c("d"), settings).alias("o"))
+
+
+@query("SELECT event_id, upper(event_type) || '!' AS r, event_id % 2 = 0 AS failed FROM events")
+def u02_script(spark, sf_dir):
+    from weft.functions import scripts
+
+    assert scripts
+    code = "const up = s => s.toUpperCase() + '!'; return {r: up(input.type), failed: input.n % 2 === 0}"
+    out = _typed_events(spark, sf_dir, "plugin-js", {"script": code}, type=c("event_type"), n=c("event_id"))
+    return out.select("event_id", F.try_variant_get("o.data", "$.r", "string").alias("r"), F.try_variant_get("o.data", "$.failed", "boolean").alias("failed"))
+
+
+@query("SELECT event_id, 200 + (length(event_type)) AS status, base64(encode('POST /e/' || event_type)) AS body FROM events")
+def u03_http(spark, sf_dir):
+    from weft.sources import http
+
+    request = http.request({"method": "POST"}, url=F.concat(F.lit("/e/"), c("event_type")))
+    rows = read(spark, sf_dir, "events").select("event_id", request.alias("q"))
+    return http.call(rows, "q", _echo).select("event_id", "status", "body")
+
+
+def _echo(method: str, url: str, headers: dict, body: bytes) -> tuple[int, bytes]:
+    return 200 + len(url) - 3, f"{method} {url}".encode()
+
+
+@query("SELECT event_id, true AS error, coalesce(nullif(event_type, 'click'), 'fallback') AS said FROM events")
+def u04_error_node(spark, sf_dir):
+    out = _typed_events(spark, sf_dir, "plugin-error", {"message": "fallback"}, message=F.when(c("event_type") != "click", c("event_type")))
+    return out.select("event_id", c("o.error").alias("error"), c("o.errorDescription").alias("said"))
+
+
+@query("SELECT event_id, event_type AS kind, 'x' AS extra, event_type = 'click' AS error FROM events WHERE event_type <> 'click' UNION ALL SELECT event_id, NULL, NULL, true FROM events WHERE event_type = 'click'")
+def v23_json_parse_node(spark, sf_dir):
+    schema = {"type": "OBJECT", "properties": {"kind": {"type": "STRING", "required": True, "validation": {"pattern": "^[^c]"}}, "extra": {"type": "STRING", "default": "x"}}}
+    encoded = S.base64_encode(F.to_json(F.struct(c("event_type").alias("kind"))))
+    out = _typed_events(spark, sf_dir, "plugin-json-parse", {"schema": schema}, data=encoded)
+    at = lambda k: F.try_variant_get("o.data", f"$.{k}", "string").alias(k)
+    return out.select("event_id", at("kind"), at("extra"), c("o.error").alias("error"))
+
+
+@query("""SELECT event_id, '{"kind":"' || event_type || '"}' AS made FROM events""")
+def v24_json_produce_node(spark, sf_dir):
+    schema = {"type": "OBJECT", "properties": {"kind": {"type": "STRING"}}}
+    out = _typed_events(spark, sf_dir, "plugin-json-produce", {"schema": schema}, kind=c("event_type"), dropped=c("event_id"))
+    return out.select("event_id", S.base64_decode(F.try_variant_get("o.data", "$.encoded", "string")).alias("made"))
+
+
+@query("SELECT event_id, event_id % 13 AS n, CASE WHEN event_id % 13 = 0 THEN '' ELSE array_to_string(list_transform(range(1, least(event_id % 13, 10) + 1), lambda i: 'p' || i || ': m'), '; ') || CASE WHEN event_id % 13 > 10 THEN ' ... and ' || (event_id % 13 - 10) || ' more' ELSE '' END END AS r FROM events")
+def a10_summary(spark, sf_dir):
+    n = (c("event_id") % 13).cast("int")
+    found = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: I.issue(F.concat(F.lit("p"), i.cast("string")), "m", "C"))
+    return read(spark, sf_dir, "events").select("event_id", (c("event_id") % 13).alias("n"), I.summary(found).alias("r"))
+
+
+@query("SELECT n_nationkey, '{\"deep\":{\"__truncated\":true},\"list\":[\"__truncated\"],\"name\":\"' || n_name || '\"}' AS r FROM nation")
+def p17_truncate(spark, sf_dir):
+    v = F.call_function("to_variant_object", F.struct(c("n_name").alias("name"), F.struct(c("n_regionkey").alias("r")).alias("deep"), F.array(c("n_regionkey")).alias("list")))
+    return read(spark, sf_dir, "nation").select("n_nationkey", v.alias("v")).select("n_nationkey", F.to_json(J.truncate(c("v"), 1)).alias("r"))
+
+
+@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, role FROM conversations")
+def p18_unwrap(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    v = F.call_function("to_variant_object", F.transform("t", lambda x: F.struct(x["role"].alias("data"))))
+    each = rows.select("conv_id", v.alias("v")).select("conv_id", F.posexplode(J.elements(docs.unwrapped(c("v")))).alias("i", "x"))
+    return each.select("conv_id", c("i").cast("long").alias("i"), F.try_variant_get("x", "$", "string").alias("role"))
+
+
+@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, role, conv_id AS conv FROM conversations")
+def m09_set_through(spark, sf_dir):
+    rows = _conversation_arrays(spark, sf_dir)
+    doc = resolve.set_through(F.parse_json(F.lit("{}")), ("xs",), ("role",), paths.member(c("v"), "role"))
+    out = rows.select("conv_id", resolve.set_through(doc, ("xs",), ("conv",), N.variant(c("conv_id"))).alias("d"))
+    each = out.select("conv_id", F.posexplode(J.elements(paths.get(c("d"), "/xs"))).alias("i", "x"))
+    return each.select("conv_id", c("i").cast("long").alias("i"), F.try_variant_get("x", "$.role", "string").alias("role"), F.try_variant_get("x", "$.conv", "bigint").alias("conv"))
+
+
 @query("SELECT event_id, upper(event_type) AS result FROM events WHERE value IS NOT NULL AND value > 0")
 def t01_stream(spark, sf_dir):
     """The unit as a streaming query that works off what is there; the batch tables are read back."""
