@@ -23,8 +23,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs go; a document stays, with what is left of it."""
-    return line_dedup.drop_repeated(docs).select(*docs.columns)
+    """Later copies of line runs go; a document stays with what is left of it, and goes if no word is left."""
+    left = line_dedup.drop_repeated(docs, report=True)
+    return left.where((left["n_lines_dropped"] == 0) | left["text"].rlike(r"[^ \t-\r]")).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
