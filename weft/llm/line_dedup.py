@@ -163,7 +163,7 @@ def drop_repeated(df: DataFrame, text: str = "text", key: str = "doc_id", min_wo
     """The documents without the later copies of repeated runs. ``report`` adds ``n_lines_dropped``."""
     runs = copied_runs(df, text, key, min_words).groupBy(*DOC).agg(F.collect_set(F.struct("i", "m")).alias("__runs"))
     runs = runs.select(F.col("dn").alias("__dn"), F.col("k").alias("__k"), F.col("t").alias("__t"), "__runs")
-    names = df.columns
+    names = [c for c in df.columns if not (report and c == "n_lines_dropped")]
     x = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
     on = (x == F.col("__t")) & F.col(key).eqNullSafe(F.col("__k"))
     joined = df.join(runs.hint("shuffle_hash"), on, "left").select(*[df[c] for c in names], "__runs")
@@ -188,6 +188,6 @@ def drop_repeated(df: DataFrame, text: str = "text", key: str = "doc_id", min_wo
             cols = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(dropped, pa.int64())], [*names, "__n"])
 
-    fields = [f"`{f.name}` {'string' if f.name == text else f.dataType.simpleString()}" for f in df.schema]
+    fields = [f"`{f.name}` {'string' if f.name == text else f.dataType.simpleString()}" for f in df.select(*names).schema]
     out = joined.mapInArrow(run, ", ".join([*fields, "__n long"]))
     return out.withColumnRenamed("__n", "n_lines_dropped") if report else out.drop("__n")
