@@ -114,7 +114,7 @@ def test_toxicity_learns(spark):
             words[int(rng.integers(0, 80))] = str(rng.choice(["vilewordone", "vilewordtwo", "vileotherx"]))
         texts.append(" ".join(words))
         marks.append(k % 2)
-    model = toxicity.fit(texts, marks, rounds=14, batch=32)
+    model = toxicity.fit(texts, marks, batch=32)
     s = model.scores(pa.array([" ".join(plain), " ".join([*plain[:40], "vilewordthree", *plain[40:]]), "", None], pa.string()))
     assert s[0] < 0.5 <= s[1] and s[2] == s[3] == 0
 

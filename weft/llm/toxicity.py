@@ -180,12 +180,15 @@ class Model:
         out[full] = _sigmoid(np.maximum.reduceat(logit, offs[:-1][full]).astype(np.float64))
         return out
 
-    def gradients(self, w: Words, idx: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, w: Words, idx: np.ndarray, y: np.ndarray, weight: np.ndarray, drop: np.random.Generator | None = None) -> dict[str, np.ndarray]:
+        """With ``drop`` half the words go without their own vector, so that characters are learned from, too."""
         some, local = np.unique(idx, return_inverse=True)
         local = local.reshape(idx.shape)
         if some[-1] == len(w.bucket):
             some = some[:-1]
         x, (keys, size) = self.inputs(w, some)
+        kept = (drop.random((len(some), 1)) < 0.5).astype(x.dtype) if drop else np.ones((len(some), 1), x.dtype)
+        x[:, :WIDTH] *= kept
         logit, (states, alpha, pooled, saved, live) = self.run(x, local, keep=True)
         p, n = self.p, len(idx)
         d = ((_sigmoid(logit) - y) * weight).astype(np.float32) / n
@@ -218,26 +221,28 @@ class Model:
             g[f"w{side}"], g[f"c{side}"] = x.T @ dahead, dahead.sum(axis=0)
             dx += dahead @ p[f"w{side}"].T
         g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-        np.add.at(g["word"], w.bucket[some], dx[:, :WIDTH])
+        np.add.at(g["word"], w.bucket[some], dx[:, :WIDTH] * kept)
         if len(keys):
             np.add.at(g["char"], keys, np.repeat(dx[:, WIDTH:] / np.maximum(size, 1)[:, None], size, axis=0))
         return g
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 10, batch: int = 128, rate: float = 0.02, seed: int = 6) -> Model:
+def fit(texts: list[str], labels: list[int], steps: int = 250, batch: int = 128, rate: float = 0.02, seed: int = 6) -> Model:
+    """At least 10 rounds over the texts, and more where there are few, until about ``steps`` updates are made."""
     y = np.asarray(labels, np.float32)
     if len(set(labels)) < 2:
         return Model()
     w = read(pa.array(texts, pa.string()))
     idx, offs = w.windows()
     texts_with = np.flatnonzero(np.diff(offs) > 0)
+    rounds = max(10, min(80, -(-steps * batch // max(1, len(texts_with)))))
     model, rng = Model.fresh(seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
     step = 0
     for k in range(rounds):
         random = [int(rng.integers(offs[t], offs[t + 1])) for t in texts_with]
-        if k < 2:
+        if k < rounds // 5:
             chosen = random
         else:
             x, _ = model.inputs(w, np.arange(len(w.bucket)))
@@ -250,7 +255,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 10, batch: int = 128,
         chosen = np.asarray(chosen)
         for lo in range(0, len(order), batch):
             part = order[lo : lo + batch]
-            g = model.gradients(w, idx[chosen[part]], truth[part], balance[truth[part].astype(int)])
+            g = model.gradients(w, idx[chosen[part]], truth[part], balance[truth[part].astype(int)], rng)
             step += 1
             now = rate * (1 - 0.8 * k / rounds)
             for name, v in g.items():
