@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from weft import paths
 from weft.functions import bind
 from weft.functions import nodes as N
+from weft.functions import scripts  # noqa: F401  its node type is registered
 from weft.operators import documents as D
 from weft.operators import json_schema as J
 

@@ -555,9 +555,6 @@ def _typed_events(spark: SparkSession, sf_dir: str, node: str, settings: dict, *
 
 @query("SELECT event_id, upper(event_type) || '!' AS r, event_id % 2 = 0 AS failed FROM events")
 def u02_script(spark, sf_dir):
-    from weft.functions import scripts
-
-    assert scripts
     code = "const up = s => s.toUpperCase() + '!'; return {r: up(input.type), failed: input.n % 2 === 0}"
     out = _typed_events(spark, sf_dir, "plugin-js", {"script": code}, type=c("event_type"), n=c("event_id"))
     return out.select("event_id", F.try_variant_get("o.data", "$.r", "string").alias("r"), F.try_variant_get("o.data", "$.failed", "boolean").alias("failed"))
