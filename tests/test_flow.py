@@ -74,16 +74,10 @@ def test_plan_is_checked():
 def test_json_nodes_and_python_nodes(spark):
     schema = {"type": "OBJECT", "properties": {"a": {"type": "NUMBER", "required": True}, "b": {"type": "STRING", "default": "x"}}}
     N.NODES["test-double"] = N.python_node(lambda d: d["n"] * 2)
-    nodes = (
-        NodeDef("parse", "plugin-json-parse", {"schema": schema}, (M("p", "/raw", ("/data",)),), 0, 1),
-        NodeDef("two", "test-double", {}, (M("parse", "/a", ("/n",)),), 1, 1),
-        NodeDef("made", "plugin-json-produce", {"schema": {"type": "OBJECT", "properties": {"r": {"type": "NUMBER"}}}}, (M("two", "/result", ("/r",)),), 2, 1),
-    )
     import base64
 
     enc = base64.b64encode(b'{"a":4}').decode()
     df = spark.createDataFrame([(enc,), (base64.b64encode(b"{}").decode(),)], "raw string")
-    doc = F.call_function("to_variant_object", F.struct(F.col("raw")))
     one = N.NODES["plugin-json-parse"](F.call_function("to_variant_object", F.struct(F.col("raw").alias("data"))), {"schema": schema})
     rows = df.select(one.alias("r"), F.to_json(one["data"]).alias("d")).collect()
     assert json.loads(rows[0].d) == {"a": 4, "b": "x"} and rows[1].r.error
@@ -91,7 +85,25 @@ def test_json_nodes_and_python_nodes(spark):
     assert json.loads(got.d) == {"result": 6} and not got.error
     failed = df.limit(1).select(N.NODES["test-double"](F.parse_json(F.lit("{}")), {}).alias("r")).first().r
     assert failed.error and "KeyError" in failed.errorDescription
-    del N.NODES["test-double"], doc, nodes
+    del N.NODES["test-double"]
+
+
+def test_python_and_script_nodes_in_units(spark):
+    N.NODES["test-double"] = N.python_node(lambda d: {"n": d["n"] * 2})
+    try:
+        nodes = (
+            NodeDef("two", "test-double", {}, (M("p", "/n", ("/n",)),), 0, 1),
+            NodeDef("js", "plugin-js", {"script": "return {r: input.n + 1, xs: ['a', 'b']}"}, (M("two", "/n", ("/n",)),), 1, 1),
+            NodeDef("up", "plugin-strings", {"action": "to_upper"}, (M("js", "/xs//$value", ("/value",), iterate=True),), 2, 1),
+            NodeDef("no", "plugin-js", {"script": "return 1"}, (M("p", "/n", ("/n",)), M("two", "/absent", kind="EVENT", trigger=True)), 2, 2),
+        )
+        (good, _, f), (bad, _, g) = run(spark, Unit("p", nodes), {"n": 3}, {"n": None})
+        assert good["js-/r"] == 7 and good["up-/result[1]"] == "B" and "no-/result" not in good and f is None
+        assert bad["two-/error"] is True and g
+        with pytest.raises(ValueError, match="iteration"):
+            run(spark, Unit("p", (NodeDef("t", "test-double", {}, (M("p", "/xs//n", ("/n",), iterate=True),), 0, 1),)), {"xs": []})
+    finally:
+        del N.NODES["test-double"]
 
 
 def resolved(spark, mappings, rows):

@@ -185,7 +185,8 @@ def python_node(f: Callable[[dict], object]) -> Node:
     """A node from a Python function over documents, in Arrow batches.
 
     A result that is no object is wrapped as ``result``; None is the empty object; an exception is the node's error.
-    An input whose only member is ``input`` is handed over as that member.
+    An input whose only member is ``input`` is handed over as that member. In a unit such a node
+    stands outside of iterations.
     """
 
     def one(text: str | None) -> tuple[str | None, str | None]:
@@ -202,6 +203,8 @@ def python_node(f: Callable[[dict], object]) -> Node:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(t) for t in texts], columns=["data", "error"])
 
+    run = run.asNondeterministic()  # so it stays in a projection of its own, and user code need not repeat itself
+
     def node(v: Column, settings: dict) -> Column:
         r = run(F.to_json(v))
         return result(F.parse_json(r["data"]), r["error"])

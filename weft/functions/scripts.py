@@ -1317,5 +1317,8 @@ def script_node(v, settings: dict):
     return N.python_node(functools.partial(_run, code, {k: x for k, x in settings.items() if k != "script"}))(v, settings)
 
 
+script_node.batch = True
+
+
 def _run(code: str, settings: dict, document):
     return run_script(code, document, settings)

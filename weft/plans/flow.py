@@ -178,7 +178,13 @@ def _passes(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & ~F.is_variant_null(v) & F.coalesce(F.try_variant_get(v, "$", "boolean") | (J.kind_of(v) != "boolean"), F.lit(True)), F.lit(False))
 
 
-def _node(n: NodeDef, env: _Env) -> Column:
+def is_batch(n: NodeDef) -> bool:
+    """Whether the node runs Python, which Spark has no place for inside a ``transform``."""
+    return getattr(N.NODES[n.type], "batch", False)
+
+
+def _input(n: NodeDef, env: _Env) -> tuple[Column | None, Column]:
+    """(gate, document) of a node; no gate is None."""
     gates = [_passes(env.value(m)) for m in n.mappings if m.kind == "EVENT" and m.trigger]
     data = [m for m in n.mappings if m.is_data]
     # A node whose every source failed, and that did not ask for errors, is skipped.
@@ -190,8 +196,20 @@ def _node(n: NodeDef, env: _Env) -> Column:
         for target in m.targets or ("",):
             names = tuple(x for x in target.strip("/").replace("//", "/").split("/") if x)
             doc = bind(F.struct(doc.alias("d"), env.value(m).alias("v")), _setter(names))
-    made = bind(doc, lambda d: _output(N.NODES[n.type](d, N.normalized_settings(n.settings)))).cast(_OUT)
-    return F.when(reduce(lambda a, b: a & b, gates), made).otherwise(_skipped().cast(_OUT)) if gates else made
+    return (reduce(lambda a, b: a & b, gates) if gates else None), doc
+
+
+def _gated(gate: Column | None, made: Column) -> Column:
+    return made.cast(_OUT) if gate is None else F.when(gate, made.cast(_OUT)).otherwise(_skipped().cast(_OUT))
+
+
+def _made(n: NodeDef, doc: Column) -> Column:
+    return _output(N.NODES[n.type](doc, N.normalized_settings(n.settings)))
+
+
+def _node(n: NodeDef, env: _Env) -> Column:
+    gate, doc = _input(n, env)
+    return _gated(gate, bind(doc, lambda d: _made(n, d)))
 
 
 def _setter(names: tuple[str, ...]) -> Callable[[Column], Column]:
@@ -249,6 +267,43 @@ def outputs(unit: Unit, parent: Column, prior: dict[str, Column] | None = None)
     return _build(unit.ordered(), (), contexts(unit), env, lambda outs: F.struct(*[outs[i][0].alias(i) for i in names]))
 
 
+def _by_columns(df: DataFrame, unit: Unit, parent: str, prior: dict[str, str]) -> DataFrame:
+    """Adds ``__o`` like ``outputs``, with a column for each node outside of iterations, so that Python nodes can run there."""
+    if problems := unit.problems(tuple(prior)):
+        raise ValueError("; ".join(problems))
+    where, rest = contexts(unit), unit.ordered()
+    if inside := [n.id for n in rest if is_batch(n) and where[n.id]]:
+        raise ValueError(f"Python nodes can't run inside an iteration, but only on rows: {', '.join(inside)}")
+    env = _Env({unit.parent: F.col(parent), **{k: F.col(c) for k, c in prior.items()}}, {}, {})
+    keep, k = df.columns, 0
+    while rest:
+        n, name = rest[0], f"__n{k}"
+        k += 1
+        if not where[n.id]:
+            gate, doc = _input(n, env)
+            df = df.withColumns({f"__d{k}": doc, f"__g{k}": F.lit(True) if gate is None else gate})
+            df = df.withColumn(name, _gated(F.col(f"__g{k}"), _made(n, F.col(f"__d{k}"))))
+            env = _Env(env.docs, env.outs | {n.id: (F.col(name), 0)}, {})
+            rest = rest[1:]
+            continue
+        inner = where[n.id][:1]
+        group = [x for x in rest if where[x.id][:1] == inner]
+        df = df.withColumn(name, F.transform(_items(inner, env), _item_outputs(group, inner, where, env)))
+        outs = {x.id: (F.transform(F.col(name), _member(x.id)), len(where[x.id])) for x in group}
+        env = _Env(env.docs, env.outs | outs, {})
+        rest = [x for x in rest if x not in group]
+    return df.select(*keep, F.struct(*[env.outs[n.id][0].alias(n.id) for n in unit.ordered()]).alias("__o"))
+
+
+def _member(name: str) -> Callable[[Column], Column]:
+    return lambda r: r[name]
+
+
+def _item_outputs(group: list[NodeDef], inner: Context, where: dict[str, Context], env: _Env) -> Callable[[Column], Column]:
+    names = [x.id for x in group]
+    return lambda item: _build(group, inner, where, _Env(env.docs, env.outs, env.items | {inner: item}, inner), lambda outs: F.struct(*[outs[i][0].alias(i) for i in names]))
+
+
 _ENTRY = "array<struct<key:string,value:variant>>"
 
 
@@ -270,7 +325,10 @@ def run_unit(df: DataFrame, unit: Unit, parent: str = "parent", prior: dict[str,
     ``failure`` is the first error that no mapping listens to; such a row belongs to the failed sink.
     """
     where = contexts(unit)
-    out = df.withColumn("__o", outputs(unit, F.col(parent), {k: F.col(c) for k, c in (prior or {}).items()}))
+    if any(n.type in N.NODES and is_batch(n) for n in unit.nodes):
+        out = _by_columns(df, unit, parent, prior or {})
+    else:
+        out = df.withColumn("__o", outputs(unit, F.col(parent), {k: F.col(c) for k, c in (prior or {}).items()}))
     entries, failures = [], []
     for n in unit.ordered():
         levels = len(where[n.id])
