@@ -1,7 +1,7 @@
 """Quality of whole texts by supervised subword embeddings.
 
-A text is the bag of its words, word pairs and the character n-grams of its words. Each
-hashes to one of ``BUCKETS`` learned vectors; the text's embedding is their mean, and a
+A text is the bag of its words, word pairs (a word said twice running is one and the same
+pair for all words) and the character n-grams of its words. Each hashes to one of ``BUCKETS`` learned vectors; the text's embedding is their mean, and a
 softmax layer over it gives the class. Vectors and layer are learned together by
 stochastic gradient descent in numpy, on a bounded sample of labelled texts.
 
@@ -11,7 +11,9 @@ in slices, without an object for a word.
 
 Defined results: a null or empty text, or one of white space, has no features and gets
 the bias' score, as every text does if there were no labels of both classes to learn from
-(then 0.5). Repeated rows score alike.
+(then 0.5). Repeated rows score alike. A text of any length is read whole, in memory that
+follows the longest one. An empty table gives an empty table. Columns to keep whose names
+clash with ``score`` or ``predicted`` give way to the results.
 """
 
 from __future__ import annotations
@@ -48,7 +50,8 @@ def features(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         same[first[1:][first[1:] > 0] - 1] = False
         same[-1] = False
         at = np.flatnonzero(same)
-        pairs = mix(words[at + 1] - words[at])  # by difference, so that a word said twice is one feature whatever the word
+        pairs = mix(words[at] * np.uint64(0x9E3779B97F4A7C15) + words[at + 1])
+        pairs[words[at] == words[at + 1]] = 0  # a word that follows itself is one feature, whatever the word: stutter marks bad text in any language
         out.append(((pairs >> shift).astype(np.int64), np.searchsorted(at, first)))
     n = len(buf)
     inside = ~SPACE[buf]
