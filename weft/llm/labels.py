@@ -11,6 +11,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_c
 
     ``usable`` is a condition on the key. The documents lowest by a hash of the key are taken, so the sample is
     the same in every run. Labels that contradict one another for one key leave it out; null labels are ignored.
+    Of rows with one key only the least text is taken, so that a key that is repeated very often adds one text.
     """
     known = labels.where(F.col(label).isin(0, 1) & usable).groupBy(key).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z")
     h = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 40))
@@ -20,7 +21,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_c
         return []
     limit = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, int(min(1.0, per_class[y] / n) * (1 << 40)))])[F.col("y")]
     chosen = known.where(F.col("h") < limit)  # bounded: about per_class keys
-    got = docs.join(F.broadcast(chosen), docs[key] == F.col("__k")).where(F.col(text).isNotNull()).select(F.col(text).alias("x"), "y", "h")
+    mine = docs.select(F.col(key).alias("__d"), F.col(text).cast("string").alias("x")).where("x IS NOT NULL")
+    got = mine.join(F.broadcast(chosen), F.col("__d") == F.col("__k")).groupBy("__k", "y", "h").agg(F.min("x").alias("x")).select("x", "y", "h")
     # The largest share of the bytes that fits; the same share of either class.
     share = got.agg(F.sum(F.octet_length("x")).alias("b")).first().b or 0
     if share > most_bytes:
