@@ -88,20 +88,44 @@ def test_crc_matches_zlib(spark):
     assert [r[0] for r in got] == [zlib.crc32(str(i).encode()) % 5 for i in (0, 7, 123456789)]
 
 
-def _held_out(spark, sf, label, mod, rest, fit, per_class):
-    docs, marks = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+def held_out_counts(spark, folder, label, mod, rest, fit, per_class, bytes_, from_):
+    """(labelled 1 and predicted, labelled 1, predicted, rows) of the rows that nothing was learned from."""
+    docs, marks = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     held = crc32_mod("doc_id", mod) == rest
-    rows = labels.sample(docs, marks, label, ~held, per_class, 4_000_000)
+    rows = labels.sample(docs, marks, label, ~held, per_class, bytes_)
     model = fit([x for x, _ in rows], [y for _, y in rows])
-    truth = {r.doc_id: r[label] for r in marks.collect()}
-    return docs, held, model, truth
+    known = docs.where(held).join(marks.where(marks[label].isNotNull()), "doc_id").select("text", label).collect()
+    got = np.concatenate([model.scores(pa.array([r.text for r in known[k : k + 100]], pa.string())) for k in range(0, len(known), 100)]) >= from_
+    truth = np.array([r[label] == 1 for r in known])
+    return int((got & truth).sum()), int(truth.sum()), int(got.sum()), len(known)
 
 
-def test_quality_learns(spark, sf):
-    docs, held, model, truth = _held_out(spark, sf, "quality", 4, 2, subword_quality.fit, {0: 300, 1: 300})
-    got = subword_quality.score(docs, model).where(~held).collect()
-    known = [(r.predicted, truth[r.doc_id]) for r in got if r.doc_id in truth]
-    assert np.mean([a == b for a, b in known]) > 0.85
+def test_quality_of_held_out_rows(spark):
+    per = {0: subword_quality.PER_CLASS, 1: subword_quality.PER_CLASS}
+    hit, good, said, n = held_out_counts(spark, "/root/testdata/sf0.01", "quality", 4, 2, subword_quality.fit, per, subword_quality.SAMPLE_BYTES, subword_quality.PREDICTED_FROM)
+    assert n > 80 and hit >= 0.95 * good and said - hit <= 0.1 * (n - good)
+
+
+def test_toxicity_of_held_out_rows(spark):
+    # Some rows labelled toxic hold none of the words that the others share, so that no method finds them.
+    per = {0: toxicity.CLEAN_TEXTS, 1: toxicity.TOXIC_TEXTS}
+    hit, toxic, said, n = held_out_counts(spark, "/root/testdata/sf0.1", "toxic", 5, 0, toxicity.fit, per, toxicity.SAMPLE_BYTES, toxicity.PREDICTED_FROM)
+    assert n > 800 and hit >= 0.9 * toxic and hit >= 0.95 * said
+
+
+def test_toxicity_model_round_trip():
+    model = toxicity.fit(["you fool there", "hello you there"] * 20, [1, 0] * 20, rounds=2)
+    again = toxicity.Model.from_bytes(model.to_bytes())
+    texts = pa.array(["you fool", "hello", "x " * 500, None], pa.string())
+    assert np.array_equal(model.scores(texts), again.scores(texts))
+
+
+def test_one_key_repeated_adds_one_text(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "b"), (3, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (1, 1)], "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+
+    assert sorted(labels.sample(docs, marks, "toxic", F.lit(True), {0: 9, 1: 9}, 10_000)) == [("b", 0), ("text 0", 1)]
 
 
 def test_toxicity_learns(spark):
