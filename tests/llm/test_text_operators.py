@@ -220,7 +220,7 @@ PAGE = """<html><body class="has-sidebar"><header><h1>Site</h1></header><nav>a b
 
 
 def test_extraction():
-    assert host_consensus.vote(PAGE)[0] == "html/body.has-sidebar/div.post-#.x"
+    assert host_consensus.vote(PAGE)[1] == "html/body.has-sidebar/div.post-#.x"
     assert host_consensus.extract(PAGE, None).split("\n") == ["Title & more", "First para link text", "line 2", "Second", "tail", "one", "two", "c1", "c2"]
     assert [host_consensus.extract(x, None) for x in ("plain", "", None, "<div", "<p>a<b>c</p> d <!-- x", "<script>x")] == ["plain", "", "", "", "ac\nd", ""]
 
@@ -233,3 +233,86 @@ def test_hosts_vote(spark):
     for most in (host_consensus.MOST_HOSTS, 0):
         got = {r.page_id: (r.text, r.n_chars) for r in host_consensus.extract_pages(df, most_hosts=most).collect()}
         assert got[9] == ("brief", 5) and got[10] == ("hello", 5) and got[11] == ("", 0) and len(got) == 8
+
+
+LONG = "a sentence of the article that goes on for a good while, word after word, until it is long enough to be one. "
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        # an intro, a long list, an outro
+        (f"<article><p>{LONG}</p><ul>{''.join(f'<li>{k} {LONG}{LONG}</li>' for k in range(5))}</ul><p>the end</p></article>", [LONG.strip(), *[f"{k} {LONG}{LONG}".strip() for k in range(5)], "the end"]),
+        (f"<div><article><p>short intro of some eighty characters, which is less than a tenth of the rest.</p><section>{''.join(f'<p>{k} {LONG}</p>' for k in range(8))}</section></article><div>other</div></div>",
+         ["short intro of some eighty characters, which is less than a tenth of the rest.", *[f"{k} {LONG}".strip() for k in range(8)]]),
+        # no element named for it: own text beside a section
+        (f"<body><div class=x><p>{LONG}</p><section><p>{LONG * 3}</p></section></div><div class=y><p>tail of the page</p></div></body>", [LONG.strip(), (LONG * 3).strip()]),
+        # one article in sections, and something else beside it
+        (f"<body><div class=text>{''.join(f'<section><p>{k} {LONG}</p></section>' for k in range(4))}</div><div class=y><p>aside</p></div></body>", [f"{k} {LONG}".strip() for k in range(4)]),
+        (f"<main><p>{LONG}</p><table>{''.join(f'<tr><td>{k}<td>{LONG}' for k in range(6))}</table></main>", [LONG.strip(), *[x for k in range(6) for x in (str(k), LONG.strip())]]),
+        # a table for the layout: its cell is the container
+        (f"<table><tr><td><p><a href=/>menu</a></p><td><p>{LONG}</p><p>{LONG}</p></table>", [LONG.strip(), LONG.strip()]),
+        # class names that only contain a word for something else
+        (f'<div class="content no-sidebar"><p>{LONG}</p><p class="social-life">And more.</p></div><div class="x"><p>beside</p></div>', [LONG.strip(), "And more."]),
+        (f'<div class="elementor-widget elementor-widget-text"><p>{LONG}</p></div>', [LONG.strip()]),
+        (f'<article><p>{LONG}</p><div class="article__share">tell</div><div id="commentsArea"><p>{LONG * 9}</p></div><div class="ad-slot-2">buy</div><div class="site-header">x</div></article>', [LONG.strip()]),
+        # a formula is part of its line
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be one.</p></article>", ["Let x=1 be one."]),
+        ("<article><p title=it's>one</p><p data-x='>' title=\"a>b\">two</p></article>", ["one", "two"]),
+    ],
+)
+def test_whole_articles(html, want):
+    found = host_consensus.vote(html)
+    assert host_consensus.extract(html, found[0]).split("\n") == want == host_consensus.extract(html, None).split("\n")
+
+
+def test_deep_pages_take_linear_memory():
+    import resource
+    import time
+
+    deep = '<div class="content">' * 100_000 + "<p>the text" + "</p></div></b></li>" * 100_000
+    began, before = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = host_consensus.vote(deep)
+    assert host_consensus.extract(deep, found[0]) == "the text"
+    assert time.time() - began < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def test_pages_edges(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert host_consensus.extract_pages(empty).count() == 0
+    rows = [(1, None, None), (2, "http://a.b/", ""), (2, "http://a.b/", ""), (3, "http://a.b/", "<p>" + "word " * 200_000), (None, "x", "<body>t")]
+    df = spark.createDataFrame([(*r, "mine", 7) for r in rows], "page_id long, url string, html string, host string, key int")
+    got = sorted(((r.page_id or 0, len(r.text), r.n_chars, r.host, r.key) for r in host_consensus.extract_pages(df, keep=("page_id", "host", "key")).collect()))
+    assert got == [(0, 1, 1, "mine", 7), (1, 0, 0, "mine", 7), (2, 0, 0, "mine", 7), (2, 0, 0, "mine", 7), (3, 999_999, 999_999, "mine", 7)]
+
+
+def test_pages_of_the_table_against_their_articles(spark, sf):
+    """The table's pages have one article element each; its text, told by another parser, is what counts."""
+    import html.parser
+
+    class Article(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.lines = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            if tag in ("article", "h1", "p", "br"):
+                self.lines.append("")
+
+        def handle_endtag(self, tag):
+            if tag in ("article", "h1", "p"):
+                self.lines.append("")
+            self.inside = self.inside and tag != "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.lines[-1] += data
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r.text for r in host_consensus.extract_pages(pages).collect()}
+    for r in pages.collect():
+        p = Article()
+        p.feed(r.html)
+        p.close()
+        assert got[r.page_id] == "\n".join(x for x in (" ".join(line.split()) for line in p.lines) if x)
