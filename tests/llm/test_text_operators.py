@@ -198,7 +198,7 @@ def test_cascade_is_exact(spark):
 
     got = {r.key: r.m for r in df.select("key", cascade.contains(F.col("key")).alias("m")).collect()}
     assert got == dict(keys) and len(cascade.levels) > 1
-    assert url_cascade.build(df, most_keys=10) is None and not url_cascade.build(df.where("NOT listed")).levels
+    assert not url_cascade.build(df.where("NOT listed")).levels
 
 
 def test_url_verdicts(spark):
@@ -208,9 +208,23 @@ def test_url_verdicts(spark):
         ("a.example.com", "/en/x", "example.com/en/", "block"), ("www.example.com", "/en/", "www.example.com/en/", "allow"), ("u.www.example.com", "/en/1", "www.example.com/en/", "allow"), ("x.net", "/es/1", "net/es/", "block"),
         ("x.net", "/en/1", None, "allow"), ("spam-farm.org", "/", None, "block"), ("x.org", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("x.com", "", None, "allow"), ("notexample.com", "/en/", "com/", "allow"),
     ]
-    for most in (url_cascade.MOST_KEYS, 0):
-        got = [(r.host, r.path, r.rule, r.verdict) for r in url_cascade.judge(df, most_keys=most).orderBy("page_id").collect()]
-        assert got == want
+    got = [(r.host, r.path, r.rule, r.verdict) for r in url_cascade.judge(df, url_cascade.hosts_with_words(df)).orderBy("page_id").collect()]
+    assert got == want
+
+
+def test_listed_hosts_of_a_table(spark):
+    rows = [(i, f"http://h{i % 400}.org/{i}", "kept", "mine") for i in range(900)] + [(None, None, "kept", "mine"), (None, "", None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, rule string, extra string")
+    names = [f"h{i}.org" for i in range(0, 400, 3)]
+    listed = spark.createDataFrame([(x,) for x in [*names, *names, None, "nowhere.org"]], "name string")
+    want = [(r[0] or -1, "block" if r[1] and r[1].split("/")[2] in names else "allow", None, r[3]) for r in rows]
+    for most in (url_cascade.MOST_KEYS, 50):  # one cascade, and three passes
+        out = url_cascade.judge(df, listed, most_keys=most)
+        assert out.columns == ["page_id", "url", "rule", "extra", "host", "path", "verdict"]
+        assert sorted(((r.page_id or -1, r.verdict, r.rule, r.extra) for r in out.collect()), key=repr) == sorted(want, key=repr)
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.verdict for r in url_cascade.judge(df, listed.limit(0)).collect()} == {"allow"}
+    assert url_cascade.judge(df.limit(0), listed).count() == 0
 
 
 # ---- pages

@@ -63,7 +63,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_cascade.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_cascade.judge(pages, url_cascade.hosts_with_words(pages)).drop("url")
 
 
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:

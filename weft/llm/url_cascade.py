@@ -1,24 +1,29 @@
 """URL verdicts by longest rule, then by exact membership in a list of hosts without a join.
 
-The list is encoded as a cascade of Bloom filters over the complete universe of keys,
-that is the distinct hosts of the corpus. The first filter holds the listed keys, the
-second those unlisted keys of the universe that the first accepts wrongly, the third the
-listed keys that the second accepts, and so on until a filter accepts nothing wrongly.
-For any key of the universe the first filter that refuses it tells its side, so the
-answer is exact. Filters are constants in the plan: a row is judged by a few hashes and
-bit tests. Everything here is DataFrame functions.
-
-The filters' size is bounded by ``MOST_KEYS`` listed keys; a longer list is looked up by
-an ordinary left join on the distinct hosts instead, with the same verdicts.
+The list, a table of hosts, is encoded as a cascade of Bloom filters over the complete
+universe of keys, that is the distinct hosts of the corpus. The first filter holds the
+listed keys, the second those unlisted keys of the universe that the first accepts
+wrongly, the third the listed keys that the second accepts, and so on until a filter
+accepts nothing wrongly. For any key of the universe the first filter that refuses it
+tells its side, so the answer is exact. Which keys of the universe are listed is told by
+one grouping of both, not by a join. Filters are constants in the plan: a row is judged by
+a few hashes and bit tests. Everything here is DataFrame functions.
+
+A cascade holds at most about ``MOST_KEYS`` listed keys. A longer list is dealt by a hash
+of the key to as many cascades as it takes, and rows are judged in as many passes, each
+with one cascade in its plan and written before the next. So what a plan carries is
+bounded, and there is a cascade and no join whatever the length of the list.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no
-rule and is not listed, so it is allowed. Repeated rows are judged each on its own. With
-an empty list all hosts are unlisted. Columns whose names clash give way to the results.
+rule and is not listed, so it is allowed. Repeated rows are judged each on its own; a host
+that is listed twice is listed, a null one is no host. With an empty list all hosts are
+unlisted, and an empty table gives an empty table. Urls of any length are read whole.
+Columns whose names clash with ``host``, ``path``, ``rule`` or ``verdict`` give way to the
+results; all others stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +42,7 @@ RULES = (
     (BLOCK, "net", "/fr/"),
 )
 
-#: A host is listed if one of these words stands between dots or hyphens of it.
+#: For a list where none is given: hosts with one of these words between dots or hyphens.
 LISTED_WORDS = (
     "ads", "adserver", "adult", "bets", "betting", "casino", "gambling", "malware", "phishing", "pills", "poker", "porn",
     "sex", "spam", "tracker", "viagra", "warez", "xxx",
@@ -45,7 +50,7 @@ LISTED_WORDS = (
 
 BITS_PER_KEY = 12
 HASHES = 4
-MOST_KEYS = 300_000
+MOST_KEYS = 1_000_000
 MOST_LEVELS = 40
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -117,14 +122,11 @@ class Cascade:
         return out
 
 
-def build(universe: DataFrame, most_keys: int = MOST_KEYS) -> Cascade | None:
-    """From distinct (key, listed); None if more than ``most_keys`` are listed."""
+def build(universe: DataFrame) -> Cascade:
+    """From distinct (key, listed)."""
     listed, others = universe.where("listed").select("key"), universe.where(~F.col("listed")).select("key")
-    n = listed.count()
-    if n > most_keys:
-        return None
     levels: list[Level] = []
-    inside, outside = listed, others
+    n, inside, outside = listed.count(), listed, others
     while n:
         if len(levels) == MOST_LEVELS:
             raise ValueError("the cascade does not end; are there equal keys on both sides?")
@@ -135,18 +137,34 @@ def build(universe: DataFrame, most_keys: int = MOST_KEYS) -> Cascade | None:
     return Cascade(tuple(levels))
 
 
-def judge(pages: DataFrame, url: str = "url", rules=RULES, listed: Callable[[Column], Column] = has_listed_word, most_keys: int = MOST_KEYS) -> DataFrame:
-    """All columns, and ``host``, ``path``, ``rule`` and ``verdict``. ``listed`` tells of a host whether it is on the list."""
+def key_universe(keys: DataFrame, listed: DataFrame) -> DataFrame:
+    """Distinct (key, listed) of the keys, both tables having one column; listed keys that are no keys of the first are left out."""
+    one, two = keys.toDF("key"), listed.toDF("key").where("key IS NOT NULL")
+    both = one.select("key", F.lit(True).alias("there"), F.lit(False).alias("listed")).unionByName(two.select(F.col("key").cast("string"), F.lit(False).alias("there"), F.lit(True).alias("listed")))
+    return both.groupBy("key").agg(F.bool_or("there").alias("there"), F.bool_or("listed").alias("listed")).where("there").select("key", "listed")
+
+
+def hosts_with_words(pages: DataFrame, url: str = "url", words=LISTED_WORDS) -> DataFrame:
+    """A list made from the corpus: its distinct hosts with a listed word."""
+    host = pages.select(split_url(F.col(url).cast("string"))[0].alias("host")).distinct()
+    return host.where(has_listed_word(F.col("host"), words))
+
+
+def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES, most_keys: int = MOST_KEYS) -> DataFrame:
+    """All columns, and ``host``, ``path``, ``rule`` and ``verdict``. ``listed``: a table of one column, the hosts on the list."""
     host, path = split_url(F.col(url).cast("string"))
     rows = pages.withColumns({"host": host, "path": path})
-    universe = cut(rows.select(F.col("host").alias("key")).distinct().withColumn("listed", F.coalesce(listed(F.col("key")), F.lit(False))))
-    cascade = build(universe, most_keys)
-    if cascade is None:
-        names = universe.where("listed").select(F.col("key").alias("__key"), F.lit(True).alias("__in"))
-        rows = rows.join(names, F.col("host") == F.col("__key"), "left").drop("__key")
-        member = F.coalesce(F.col("__in"), F.lit(False))
+    universe = cut(key_universe(rows.select("host"), listed))
+    parts = max(1, -(-universe.where("listed").count() // most_keys))
+    if parts == 1:
+        member = build(universe).contains(F.col("host"))
     else:
-        member = cascade.contains(F.col("host"))
+        part = lambda key: F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts))
+        rows = rows.withColumn("__listed", F.lit(False))
+        for k in range(parts):
+            here = build(universe.where(part(F.col("key")) == k)).contains(F.col("host"))
+            rows = cut(rows.withColumn("__listed", F.when(part(F.col("host")) == k, here).otherwise(F.col("__listed"))))
+        member = F.col("__listed")
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     out = rows.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(member, F.lit(BLOCK)).otherwise(F.lit(ALLOW)))})
-    return out.drop("__in")
+    return out.drop("__listed")
