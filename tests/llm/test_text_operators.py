@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from weft.llm import chosen_path, components, decontaminate, host_consensus, line_dedup, piece_codec, url_cascade
+from weft.llm import chosen_path, components, decontaminate, host_consensus, line_dedup, piece_codec, skew, url_cascade
 from weft.llm.queries import tokenizer_path
 
 sentencepiece = pytest.importorskip("sentencepiece")
@@ -60,8 +60,10 @@ def expected_lines(docs, least):
         for a, b in itertools.combinations(range(len(lines) + 1), 2):
             if sum(x[2] for x in lines[a:b]) >= least:
                 key = tuple(x[1] for x in lines[a:b])
-                if seen.setdefault(key, (d, a)) != (d, a):
-                    gone[d] |= {x[0] for x in lines[a:b]}
+                first_d, first_a = seen.setdefault(key, (d, a))
+                if (first_d, first_a) != (d, a):
+                    stays = range(first_a, first_a + b - a) if first_d == d else ()
+                    gone[d] |= {lines[i][0] for i in range(a, b) if i not in stays}
     return {d: "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[d]) if t is not None else None for d, t in docs}
 
 
@@ -70,6 +72,8 @@ def test_line_runs_equal_brute_force(spark):
     pool = [" ".join(f"w{rng.randrange(9)}" for _ in range(rng.choice((1, 1, 2, 3, 7)))) for _ in range(9)]
     docs = [(i, "\n".join(rng.choice([*pool, "", " "]) for _ in range(rng.randint(0, 14)))) for i in range(40)]
     docs += [(100, docs[3][1]), (101, docs[3][1] + "\nmore"), (102, None), (103, "")]
+    # runs that overlap themselves, with periods of one, two and three lines
+    docs += [(200, "\n".join(["a b c"] * 9)), (201, "\n".join(["u v", "w", "x y z"] * 5)), (202, "\n".join(["p q r s", "o"] * 6)), (203, "\n".join(["a b c"] * 30 + ["q"] + ["a b c"] * 3))]
     df = spark.createDataFrame([(i, t, "x") for i, t in [*docs, docs[5], docs[5]]], "doc_id long, text string, i string")
     got = line_dedup.drop_repeated(df, min_words=6, report=True).collect()
     want = expected_lines(docs, 6)
@@ -77,6 +81,26 @@ def test_line_runs_equal_brute_force(spark):
     assert line_dedup.drop_repeated(df.limit(0)).count() == 0
 
 
+def test_a_run_that_overlaps_itself_keeps_its_first_copy(spark):
+    line = " ".join("abcdefghij")
+    docs = [(1, "\n".join([line] * 20)), (2, "\n".join([line] * 4)), (3, "\n".join([line] * 6))]
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: "\n".join([line] * 5), 2: docs[1][1], 3: ""}
+
+
+def test_large_intervals_are_dealt_to_many_tasks(spark):
+    docs = [(i, f"own line {i}\ncommon line of six words here\n" + f"tail {i % 3}") for i in range(300)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated(spark.createDataFrame(docs, "doc_id long, text string"), min_words=6).collect()}
+    assert got == expected_lines(docs, 6)
+
+
+def test_join_with_large_groups(spark):
+    rows = spark.createDataFrame([(k, i) for k in range(4) for i in range(1 + 500 * (k == 2))], "k int, i int")
+    groups = rows.groupBy("k").count()
+    got = skew.join_groups(rows, groups, ["k"], "count", ["i"], salts=8, large=3)
+    assert sorted((r.k, r.i, r["count"]) for r in got.collect()) == sorted((k, i, 501 if k == 2 else 1) for k in range(4) for i in range(1 + 500 * (k == 2)))
+
+
 def test_least_runs_cover_all_runs():
     rng = random.Random(4)
     for _ in range(200):

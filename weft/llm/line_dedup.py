@@ -1,29 +1,36 @@
-"""Repeated runs of lines across documents, by a suffix array over line ids.
-
-The corpus is one sequence of line ids with a break after every document; lines without
-a word are left out of it and never removed. Prefix doubling ranks its suffixes by their
-first 1, 2, 4, ... lines: the class of a suffix at 2h is the pair of the classes at h of
-the suffix itself and of the one h lines on. Classes with one member need no further
-round, so each round handles only suffixes whose first h lines occur again. Classes are
-named by 128-bit hashes of their lines, so that they need no global sort; suffixes in
-order of their names at 1, 2, 4, ... are the suffix array, and the members of one class
-stand together in it: an interval whose longest common prefix is h lines or more.
+"""Repeated runs of lines across documents, by a suffix array over line ids and prefix doubling.
+
+The corpus is one sequence of lines with a break after every document; lines without a
+word are left out of it and never removed. Prefix doubling ranks its suffixes by their
+first 1, 2, 4, ... lines: the rank of a suffix at 2h is the place of the pair of ranks at h,
+of the suffix itself and of the one h lines on, among all such pairs in order. Pairs are
+put in order by range partitions, so that ranks are made in all tasks at once; they go up
+with the pairs but not in steps of one. A suffix whose first h lines occur nowhere else
+needs no rank at 2h, so each round handles only suffixes that occur again, and rounds end
+when none is left that could begin a run. Suffixes of one rank stand together in the
+suffix array: they are an interval whose longest common prefix is h lines or more, known
+by its size and its first member in corpus order.
 
 A run counts if it has ``min_words`` words. The least runs that count, from every first
-line on and up to every last line, have depths m between two powers of two; two classes
+line on and up to every last line, have lengths m between two powers of two; two ranks
 at the lower power, at the run's start and at its end, name the interval of depth m. Of
-each interval all members but the first in corpus order are later copies. The union of
-these runs is the union of all maximal repeated runs with ``min_words`` words or more.
+each interval all members but the first in corpus order are later copies, and go. If a
+later copy overlaps the first in the same document, the lines of the first stay. The lines
+that go are the same as if all runs were tried, of any length: every maximal repeated run
+is made of least ones. A line goes only if an equal one stands earlier, so that of every
+line in the corpus one copy stays.
 
-No step gathers a class: classes are counted with partial sums, and joined back by plain
-equality joins, whose large partitions Spark can split. What a document's own lines need
-is at most that document.
+No step gathers an interval: its members are counted with partial sums and meet what was
+found by an equality join, in which an interval with more than a thousandth of all rows
+(there are a thousand of these at most) is dealt to many tasks. What a document's own
+lines need is at most that document.
 
 Defined results: null and empty texts have no lines and stay as they are. Corpus order
 is doc_id (nulls last), then a hash of the text, then line. Rows with equal doc_id and
 text count as one document: all of them keep the same lines. A document whose lines all
-go has an empty text. An empty table stays empty. Other columns are kept, whatever
-their names.
+go has an empty text. An empty table stays empty. Texts are read whole, however long, one
+at a time beyond 2 MB. Other columns are kept, whatever their names; with ``report`` a
+column named ``n_lines_dropped`` gives way to the report.
 """
 
 from __future__ import annotations
@@ -34,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.arrowtext import cut, slices
+from weft.llm.skew import join_groups
 
 MIN_WORDS = 50
 #: A row of the corpus: the key's nullness, the key, a hash of the text.
@@ -111,47 +119,47 @@ def positions(df: DataFrame, text: str = "text", key: str = "doc_id", min_words:
     return source.mapInArrow(run, f"dn boolean, k {kind}, t long, i int, c binary, ms array<int>, need int")
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows of classes ``c`` with two members or more, with the first member in corpus order."""
-    members = rows.groupBy("c").agg(F.count("*").alias("size"), F.min(F.struct(*DOC, "i")).alias("first")).where("size > 1")
-    return rows.join(members.select("c", "first"), "c")
-
-
-def _pair(a: Column, b: Column, m: Column) -> Column:
-    return F.unhex(F.md5(F.concat(a, b, F.lit(b"/"), m.cast("string").cast("binary"))))
+def _intervals(rows: DataFrame, by: list[str], ranked: bool = True) -> DataFrame:
+    """Rows whose values of ``by`` occur twice or more, with the interval's ``rank`` in the order of ``by`` and its ``first`` member."""
+    found = rows.groupBy(*by).agg(F.count("*").alias("size"), F.min(F.struct(*DOC, "i")).alias("first")).where("size > 1")
+    if ranked:
+        found = found.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id())
+    return join_groups(rows, cut(found), by, "size", ["t", "i"]).drop("size")
 
 
 def _on(rows: DataFrame, shift: Column) -> DataFrame:
-    """Rows with the class ``c2`` of the suffix ``shift`` lines on in the same document, if it is there."""
+    """Rows with the rank ``c2`` of the suffix ``shift`` lines on in the same document, if it has one."""
     far = rows.select(*[F.col(x).alias(f"{x}2") for x in (*DOC, "i", "c")])
     near = rows.withColumn("to", F.col("i") + shift)
     on = (F.col("t") == F.col("t2")) & (F.col("to") == F.col("i2")) & F.col("k").eqNullSafe(F.col("k2"))
     return near.join(far, on).drop("dn2", "k2", "t2", "i2", "to")
 
 
-def _later(rows: DataFrame) -> Column:
-    return ~F.struct(*DOC, "i").eqNullSafe(F.col("first"))
+def _later(rows: DataFrame) -> DataFrame:
+    """(document, ``i``, ``m``): what later copies take away, without lines of the first copy where they overlap it."""
+    first = F.col("first")
+    same = (F.col("t") == first["t"]) & F.col("k").eqNullSafe(first["k"])
+    start = F.when(same, F.greatest("i", first["i"] + F.col("m"))).otherwise(F.col("i"))
+    out = rows.where(~same | (F.col("i") != first["i"])).select(*DOC, start.alias("i"), (F.col("m") - (start - F.col("i"))).alias("m"))
+    return out.where("m > 0")
 
 
 def copied_runs(df: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """Least runs (document, first line ``i``, length ``m``) that are there earlier in the corpus, too."""
-    rows = positions(df, text, key, min_words).where("need > 0")
-    found: list[DataFrame] = []
-    h = 1
+    """Lines (document, first line ``i``, number ``m``) of least runs that are there earlier in the corpus, too."""
+    rows = cut(positions(df, text, key, min_words).where("need > 0"))
+    by, found, h = ["c"], [], 1
     while True:
-        live = _repeated(rows)
+        live = _intervals(rows, by).drop(*by).withColumnRenamed("rank", "c")
         live = cut(live.dropDuplicates([*DOC, "i"]) if h == 1 else live)  # equal rows are one document
-        whole = live.where(F.array_contains("ms", h) & _later(live))
-        found.append(whole.select(*DOC, "i", F.lit(h).alias("m")))
-        if h > 1:  # depths between h and 2h: the classes at h of the start and of the last h lines
+        found.append(_later(live.where(F.array_contains("ms", h)).withColumn("m", F.lit(h))))
+        if h > 1:  # depths between h and 2h: the ranks at h of the start and of the last h lines
             some = live.select(*DOC, "i", "c", F.explode_outer(F.filter("ms", lambda m: (m > h) & (m < 2 * h))).alias("m"))
-            run = _on(some.withColumn("m", F.coalesce("m", F.lit(0))), F.greatest(F.col("m") - h, F.lit(0))).where("m > 0")
-            run = run.select(*DOC, "i", "m", _pair(F.col("c"), F.col("c2"), F.col("m")).alias("c")).distinct()
-            found.append(_repeated(run).where(_later(run)).select(*DOC, "i", "m"))
+            run = _on(some.withColumn("m", F.coalesce("m", F.lit(0))), F.greatest(F.col("m") - h, F.lit(0))).where("m > 0").distinct()
+            found.append(_later(_intervals(cut(run), ["c", "c2", "m"], ranked=False)))
         deeper = live.where(F.col("need") >= 2 * h).drop("first")
-        if h * 2 > min_words or deeper.isEmpty():
+        if deeper.isEmpty():
             break
-        rows = _on(deeper, F.lit(h)).withColumn("c", _pair(F.col("c"), F.col("c2"), F.lit(2 * h))).drop("c2")
+        rows, by = cut(_on(deeper, F.lit(h))), ["c", "c2"]
         h *= 2
     out = found[0]
     for x in found[1:]:
