@@ -51,7 +51,7 @@ TOXIC_TEXTS, CLEAN_TEXTS = 800, 2400
 SAMPLE_BYTES = 8_000_000
 PREDICTED_FROM = 0.5
 #: Rounds without a fall of the loss on the texts held back, and rounds at most.
-PATIENCE, MOST_ROUNDS = 3, 30
+PATIENCE, MOST_ROUNDS = 3, 16
 #: Windows of a text in a round, and the decay of vectors.
 PICKED, DECAY = 4, 0.05
 
