@@ -143,17 +143,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cuts the lineage by a checkpoint in the folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is empty, as in tests, a folder below the warehouse is taken.
+    Where that is not set, a folder below the warehouse is taken if Spark runs in this one process, as in tests; on a
+    cluster it is an error, as other machines might not see that folder.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(where or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return df.checkpoint(eager)
-
-
-def rows_at_most(df: DataFrame, most: int) -> list | None:
-    """The rows, if there are no more than ``most``; None beyond."""
-    rows = df.limit(most + 1).collect()
-    return rows if len(rows) <= most else None

@@ -11,6 +11,9 @@ beyond, the best of a fixed number of random codes by smallest distance.
 Defined results: a text that is null or has no letter gets ``und`` with score 0, as
 does every text where no labelled text was given to learn from. With one language in
 the labels, that language is predicted with score 1. Repeated rows are predicted alike.
+Texts are read whole, however long, one at a time beyond 1 MB. An empty table gives an
+empty table. Columns whose names clash with ``lang_pred``, ``score``, ``margin`` or
+``ambiguous`` give way to the results.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ TEXTS_PER_LANGUAGE = 500
 SAMPLE_BYTES = 8_000_000
 #: Losses are divided by this before they become a score; it changes no decision.
 TEMPERATURE = 20.0
-#: A fixed bound on the number of labels.
+#: More different labels than this are an error; there is no language that is left out.
 MOST_LANGUAGES = 1000
 
 
@@ -179,9 +182,11 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
     seen = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(text).alias("t"), F.col(lang).alias("l"), F.pmod(F.xxhash64(F.col(order).cast("string"), F.lit(11)), F.lit(1 << 40)).alias("h")
     )
-    counts = seen.groupBy("l").agg(F.count("*").alias("n"), F.avg(F.octet_length("t")).alias("b")).limit(MOST_LANGUAGES).collect()
+    counts = seen.groupBy("l").agg(F.count("*").alias("n"), F.avg(F.octet_length("t")).alias("b")).limit(MOST_LANGUAGES + 1).collect()
     if not counts:
         return None
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different labels: these are no languages")
     share = most_bytes / max(1.0, sum(min(per_language, c.n) * c.b for c in counts))
     limits = {c.l: int(min(1.0, min(1.0, share) * per_language / c.n) * (1 << 40)) for c in counts}
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("l")]

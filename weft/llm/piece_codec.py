@@ -13,7 +13,10 @@ character to a following blank mark; then the table is made for each such part o
 text alone, and equal parts are remembered within a worker up to a fixed number.
 
 Defined results: a null text is the empty text, which has no ids and decodes to the
-empty text. A character outside the vocabulary becomes its byte pieces.
+empty text. A character outside the vocabulary becomes its byte pieces. Repeated rows are
+encoded each on its own, and alike. Texts are encoded whole, however long, one after
+another. An empty table gives an empty table. Columns whose names clash with the results
+give way to them; all others stay.
 """
 
 from __future__ import annotations
