@@ -97,7 +97,7 @@ def test_large_intervals_are_dealt_to_many_tasks(spark):
 def test_join_with_large_groups(spark):
     rows = spark.createDataFrame([(k, i) for k in range(4) for i in range(1 + 500 * (k == 2))], "k int, i int")
     groups = rows.groupBy("k").count()
-    got = skew.join_groups(rows, groups, ["k"], "count", ["i"], salts=8, large=3)
+    got = skew.join_groups(rows, groups, ["k"], "count", ["i"], salts=8, large=300)
     assert sorted((r.k, r.i, r["count"]) for r in got.collect()) == sorted((k, i, 501 if k == 2 else 1) for k in range(4) for i in range(1 + 500 * (k == 2)))
 
 
@@ -156,6 +156,22 @@ def test_large_buckets_are_compared_block_by_block(spark, monkeypatch):
     assert {(r.class_id, r.n_links) for r in got} == {(0, 29)}
 
 
+def test_join_equals_all_pairs_of_the_table(spark):
+    """All pairs of whole texts, without the operator's buckets or sketches."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    sets = chosen_path.ngram_sets(pa.array([r.text for r in rows], pa.string()), 5)
+    size = np.array([len(s) for s in sets])
+    shared = chosen_path.intersections(sets)
+    ok = (10 * shared >= 8 * (size[:, None] + size - shared)) & (size[:, None] > 0)
+    for i, s in enumerate(sets):
+        ok[i, i] = False
+    got = {r.doc_id: (r.n_links, r.class_id) for r in chosen_path.join_ngrams(docs).collect()}
+    assert {r.doc_id: int(ok[i].sum()) for i, r in enumerate(rows)} == {k: v[0] for k, v in got.items()}
+    for i, j in zip(*np.nonzero(ok), strict=True):
+        assert got[rows[i].doc_id][1] == got[rows[j].doc_id][1]
+
+
 def test_intersections():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 5, 30, 60, 60, 9, 40)]
@@ -171,6 +187,24 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
+def test_components_of_random_edges(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(1000, i) for i in range(1001, 1400)]
+    top = {x: x for e in edges for x in e}
+    for _ in top:
+        for a, b in edges:
+            top[a] = top[b] = min(top[a], top[b])
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == {x: y for x, y in top.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_components_of_a_long_chain_take_few_rounds(spark):
+    n = 400
+    chain = [0, *range(n, 0, -1)]
+    edges = spark.createDataFrame(list(zip(chain[:-1], chain[1:], strict=True)), "a int, b int")
+    assert len(components.merges(edges)) <= 2 * np.log2(n)
+
+
 def test_runs_reach_the_recall():
     n = chosen_path.runs_for(0.9998, 0.8)
     assert (1 - 0.8**chosen_path.DEPTH) ** n <= 0.0002 < (1 - 0.8**chosen_path.DEPTH) ** (n - 1)
@@ -198,15 +232,15 @@ def test_passages_equal_brute_force(spark):
                         found.add(str(i))
         return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
-    for most in (2_000_000, 8):  # one automaton, and several
-        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.find_passages(df, bench, keep=("doc_id",), most_words=most).collect()}
+    for most in (decontaminate.MOST_PATTERNS, 12):  # one automaton, and several
+        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.find_passages(df, bench, keep=("doc_id",), most_patterns=most).collect()}
         assert got == {i: expect(t) for i, t in docs}
     assert decontaminate.find_passages(df, bench.limit(0)).where("contaminated").count() == 0
 
 
 def test_offsets_lead_to_the_original():
     text = "Say: «One, TWO;three ÉTÉ  four»!"
-    a = decontaminate.Automaton([("1", "two three"), ("2", "four")])
+    a = decontaminate.Automaton.of_items([("1", "two three"), ("2", "four")])
     assert [text[i:j] for i, j in decontaminate.spans(text, a)] == ["TWO;three"]
     assert decontaminate.spans("x four y", a) == [(2, 6)]
 

@@ -6,7 +6,9 @@ of ``T`` min-wise hashes, and classes that share the token with the least hash t
 on together. A class thus follows a path of shared sampled tokens, and two classes of
 similarity s stay together at each step with probability s. Buckets of at most ``SMALL``
 classes are compared outright; larger ones are split again, down to ``DEPTH`` steps. What
-is still large then is compared outright too, block by block. Runs are independent, and
+is still large then is compared outright too, block by block; blocks are bounded by their
+members and by the n-grams of these, so that long texts make more of them, and a
+comparison holds two blocks, or two texts. Runs are independent, and
 there are as many as the target recall needs for a pair just at the threshold, in the
 deepest buckets; most pairs stop earlier and are safer.
 
@@ -21,7 +23,9 @@ text of fewer than n words, but not none, is one n-gram.
 
 Defined results: a null text, or one without words, has no set, no links and is a class
 of its own. Documents with a null id take part; a class's id is its least id that is not
-null. Repeated rows are copies of one another.
+null. Repeated rows are copies of one another. Texts are read whole, however long, one at
+a time beyond 1 MB. An empty table gives an empty table. ``join_ngrams`` returns its own
+columns only, and ``keep_one`` all columns of the table, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.arrowtext import SPACE, buffers, cut, find_words, hash_spans, mix, slices, windows
 from weft.llm.components import components
+from weft.llm.skew import join_groups
 
 N = 5
 THRESHOLD = 0.8
@@ -44,7 +49,8 @@ RECALL = 0.9998
 T = 128
 DEPTH = 3
 SMALL = 256
-BLOCK = 256
+#: Members of a block, and n-grams of all its members.
+BLOCK, BLOCK_GRAMS = 256, 2_000_000
 
 _punctuation = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 _multipliers = np.random.default_rng(99).integers(1, 2**63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,19 +195,19 @@ def _in_blocks(tab: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _buckets(classes: DataFrame, runs: int) -> DataFrame:
-    """(f, run, bucket, size) of the buckets where a class ends, those with two members or more."""
-    step = classes.select("f", F.posexplode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run", "r"), "paths")
-    rows = step.select("f", "run", *[F.element_at("paths", (F.col("r") * DEPTH + d + 1).cast("int")).alias(f"p{d}") for d in range(DEPTH)])
+    """(f, run, bucket, size, grams) of the buckets where a class ends, those with two members or more."""
+    step = classes.select("f", "n", F.posexplode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run", "r"), "paths")
+    rows = step.select("f", "n", "run", *[F.element_at("paths", (F.col("r") * DEPTH + d + 1).cast("int")).alias(f"p{d}") for d in range(DEPTH)])
     ended = []
     for d in range(DEPTH):
-        counts = rows.groupBy(f"p{d}").agg(F.count("*").alias("size")).where("size > 1")
-        rows = rows.join(counts, f"p{d}")
+        counts = cut(rows.groupBy(f"p{d}").agg(F.count("*").alias("size"), F.sum("n").alias("grams")).where("size > 1"))
+        rows = join_groups(rows, counts, [f"p{d}"], "size", ["f"])
         if d + 1 == DEPTH:
-            ended.append(rows.select("f", "run", F.col(f"p{d}").alias("bucket"), "size"))
+            ended.append(rows.select("f", "run", F.col(f"p{d}").alias("bucket"), "size", "grams"))
             break
         rows = cut(rows)
-        ended.append(rows.where(F.col("size") <= SMALL).select("f", "run", F.col(f"p{d}").alias("bucket"), "size"))
-        rows = rows.where(F.col("size") > SMALL).drop("size")
+        ended.append(rows.where(F.col("size") <= SMALL).select("f", "run", F.col(f"p{d}").alias("bucket"), "size", "grams"))
+        rows = rows.where(F.col("size") > SMALL).drop("size", "grams")
     out = ended[0]
     for x in ended[1:]:
         out = out.unionByName(x)
@@ -210,7 +216,7 @@ def _buckets(classes: DataFrame, runs: int) -> DataFrame:
 
 def _units(rows: DataFrame) -> DataFrame:
     """One row per comparison unit: the bucket, or two blocks of it if it is large. A unit has at most about 2 * BLOCK members."""
-    blocks = F.when(F.col("size") <= SMALL, F.lit(1)).otherwise(F.ceil(F.col("size") / F.lit(BLOCK))).cast("int")
+    blocks = F.greatest(F.when(F.col("size") <= SMALL, F.lit(1)).otherwise(F.ceil(F.col("size") / F.lit(BLOCK))), F.least(F.ceil(F.col("grams") / F.lit(BLOCK_GRAMS)), "size")).cast("int")
     own = F.pmod(F.xxhash64("f", "bucket"), F.col("blocks")).cast("int")
     each = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
@@ -234,10 +240,10 @@ def linked(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = N, t
     )
     classes = cut(classes.select("f", "size", "first", "s.n", "s.sketch", "s.paths"))
     buckets = cut(_buckets(classes, runs))
-    terms = buckets.groupBy("f").agg(F.map_from_entries(F.collect_list(F.struct("run", "bucket"))).alias("m"), F.collect_set(F.struct("bucket", "size")).alias("ends"))
+    terms = buckets.groupBy("f").agg(F.map_from_entries(F.collect_list(F.struct("run", "bucket"))).alias("m"), F.collect_set(F.struct("bucket", "size", "grams")).alias("ends"))
     every = F.array(*[F.coalesce(F.element_at("m", F.lit(r)), F.lit(0).cast("long")) for r in range(runs)])
     placed = classes.select("f", F.col("size").alias("copies"), "first", "n", "sketch").join(terms.select("f", every.alias("terms"), "ends"), "f")
-    units = _units(placed.select("f", "copies", "first", "n", "sketch", "terms", F.explode("ends").alias("e")).select("*", "e.bucket", "e.size").drop("e"))
+    units = _units(placed.select("f", "copies", "first", "n", "sketch", "terms", F.explode("ends").alias("e")).select("*", "e.bucket", "e.size", "e.grams").drop("e"))
     least = math.floor(T * (threshold - 6 * math.sqrt(threshold * (1 - threshold) / T)))
 
     def likely(batches):

@@ -21,8 +21,7 @@ is made of least ones. A line goes only if an equal one stands earlier, so that
 line in the corpus one copy stays.
 
 No step gathers an interval: its members are counted with partial sums and meet what was
-found by an equality join, in which an interval with more than a thousandth of all rows
-(there are a thousand of these at most) is dealt to many tasks. What a document's own
+found by an equality join, in which the largest intervals are dealt to many tasks. What a document's own
 lines need is at most that document.
 
 Defined results: null and empty texts have no lines and stay as they are. Corpus order

@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tasks that share the rows of one large group, and the share of all rows, one in so many, that makes a group large.
-SALTS, LARGE = 64, 1000
+#: Tasks that share the rows of one large group, groups that are dealt so at most, and the rows from which a group is large.
+SALTS, MOST_LARGE, LARGE = 64, 1000, 2000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, by: list[str], size: str, own: list[str], salts: int = SALTS, large: int = LARGE) -> DataFrame:
     """Inner equality join of ``rows`` with ``groups``, one row for each value of ``by`` with its number of rows in ``size``.
 
-    A group with more than 1 in ``large`` of all rows is dealt to ``salts`` tasks by a hash of the row's ``own`` columns.
-    There are at most ``large`` of these, so that they can be broadcast. ``groups`` is used twice: it should be written.
+    The ``MOST_LARGE`` largest groups, of those with more than ``large`` rows, are dealt to ``salts`` tasks each by a hash of
+    the row's ``own`` columns; they are so few that they can be broadcast. Any other group has less than one in
+    ``MOST_LARGE`` of all rows. ``groups`` is read more than once: it should be written.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    is_large = F.col(size) * large > total
-    keys = groups.where(is_large).select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(by)], F.lit(True).alias("__large"))
-    same = [rows[c] == F.col(f"__{k}") for k, c in enumerate(by)]
+    keys = groups.where(F.col(size) > large).orderBy(F.col(size).desc(), *by).limit(MOST_LARGE).select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(by)], F.lit(True).alias("__large"))
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(keys), [df[c] == F.col(f"__{k}") for k, c in enumerate(by)], "left")
+
     salt = F.when(F.col("__large"), F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    dealt = rows.join(F.broadcast(keys), same, "left").withColumn("__salt", salt).select(*rows.columns, "__salt")
-    each = F.when(is_large, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(groups.withColumn("__salt", F.explode(each)), [*by, "__salt"]).drop("__salt")
+    each = F.when(F.col("__large"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    dealt = marked(rows).select(*rows.columns, salt.alias("__salt"))
+    return dealt.join(marked(groups).select(*groups.columns, F.explode(each).alias("__salt")), [*by, "__salt"]).drop("__salt")
