@@ -17,6 +17,9 @@ FOLD_FROM = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒ
 FOLD_TO = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOOooooooUUUUuuuuYyy"
 FOLD_LONG = {"Æ": "AE", "æ": "ae", "ẞ": "SS", "ß": "ss"}
 
+#: Two code points that no text has: they are set aside for use inside of programs.
+_OPENS, _CLOSES = "\uFDD0", "\uFDD1"
+
 
 def quoted(text: str) -> str:
     """A Java pattern that matches the text itself."""
@@ -35,6 +38,11 @@ def checked(pattern: str) -> str:
     return re.sub(r"\(\?P<", "(?<", pattern)
 
 
+def _apart(pattern: str) -> str:
+    """The pattern without empty matches right after the match before, which other engines give and this language has not."""
+    return f"(?>{pattern})(?:(?!\\G)|\\A)"
+
+
 def _groups(pattern: str) -> tuple[int, set[str]]:
     names = set(re.findall(r"\(\?P?<([A-Za-z]\w*)>", pattern))
     plain = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", "", pattern)
@@ -96,9 +104,13 @@ def replace(s: Column, old: str, new: str, count: int = -1, use_regex: bool = Fa
     literal = F.lit(new.replace("\\", "\\\\").replace("$", "\\$"))
     if count < 0:
         if use_regex:
-            return F.regexp_replace(s, F.lit(pattern), F.lit(_template(new, pattern)))
+            return F.regexp_replace(s, F.lit(_apart(pattern)), F.lit(_template(new, pattern)))
         return F.replace(s, F.lit(old), F.lit(new)) if old else F.regexp_replace(s, F.lit(""), literal)
-    if not use_regex and old == "":
+    if use_regex:  # matches between two characters that are no text's own
+        parts = F.split(F.regexp_replace(s, F.lit(_apart(pattern)), F.lit(f"{_OPENS}$0{_CLOSES}")), _OPENS, -1)
+        after = lambda x: F.substring_index(x, _CLOSES, -1)
+        return F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).when(i <= count, F.concat(F.lit(new), after(x))).otherwise(F.replace(x, F.lit(_CLOSES), F.lit("")))), "")
+    if old == "":
         head = F.regexp_replace(F.substring(s, 1, count), F.lit("(?s)(.)"), F.concat(literal, F.lit("$1")))
         return F.when(F.char_length(s) >= count, F.concat(head, s.substr(F.lit(count + 1), F.char_length(s)))).otherwise(F.concat(head, F.lit(new)))
     return F.array_join(F.split(s, pattern, count + 1), new)
@@ -147,7 +159,7 @@ def regex_extract(s: Column, pattern: str) -> Column:
     """For each match an array of the whole match and its groups; null if nothing matches."""
     pattern = checked(pattern)
     n, _ = _groups(pattern)
-    each = [F.regexp_extract_all(s, F.lit(pattern), F.lit(g)) for g in range(n + 1)]
+    each = [F.regexp_extract_all(s, F.lit(_apart(pattern)), F.lit(g)) for g in range(n + 1)]
     rows = F.transform(each[0], lambda x, i: F.array(x, *[F.get(e, i) for e in each[1:]]))
     return F.when(F.size(rows) > 0, rows)
 
