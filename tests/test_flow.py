@@ -100,12 +100,43 @@ def test_python_and_script_nodes_in_units(spark):
         (good, _, f), (bad, _, g) = run(spark, Unit("p", nodes), {"n": 3}, {"n": None})
         assert good["js-/r"] == 7 and good["up-/result[1]"] == "B" and "no-/result" not in good and f is None
         assert bad["two-/error"] is True and g
-        with pytest.raises(ValueError, match="iteration"):
-            run(spark, Unit("p", (NodeDef("t", "test-double", {}, (M("p", "/xs//n", ("/n",), iterate=True),), 0, 1),)), {"xs": []})
     finally:
         del N.NODES["test-double"]
 
 
+def test_python_and_script_nodes_inside_iterations(spark):
+    N.NODES["test-double"] = N.python_node(lambda d: {"n": d["n"] * 2})
+    try:
+        nodes = (
+            NodeDef("two", "test-double", {}, (M("p", "/xs//n", ("/n",), iterate=True),), 0, 1),
+            NodeDef("c", "plugin-simple-condition", {"manual_inputs": [{"name": "v", "operator": "greater_than", "value": "3", "type": "number"}]}, (M("two", "/n", ("/v",)),), 1, 1),
+            NodeDef("js", "plugin-js", {"script": "return {r: input.n + ':' + input.t}"}, (M("two", "/n", ("/n",)), M("p", "/xs//ts//t", ("/t",), iterate=True), M("c", "/true", kind="EVENT", trigger=True)), 2, 1),
+            NodeDef("up", "plugin-strings", {"action": "to_upper"}, (M("js", "/r", ("/value",)),), 3, 1),
+        )
+        doc = {"xs": [{"n": 1, "ts": [{"t": "a"}]}, {"n": 2, "ts": [{"t": "b"}, {"t": "c"}]}, {"n": "x", "ts": []}]}
+        ((out, _, f), (empty, _, g)) = run(spark, Unit("p", nodes), doc, {"xs": []})
+        assert [out.get(f"two-/n[{i}]") for i in range(3)] == [2, 4, "xx"] and out["up-/result[1][0]"] == "4:B" and out["up-/result[1][1]"] == "4:C"
+        assert "js-/r[0][0]" not in out and "js-/error[0][0]" not in out and not [k for k in empty if k.startswith("two")] and "can't be compared" in f and g is None
+    finally:
+        del N.NODES["test-double"]
+
+
+def test_too_many_items_fail_the_row(spark, monkeypatch):
+    monkeypatch.setattr(flow, "MOST_COMBINATIONS", 5)
+    unit = Unit("p", (NodeDef("n", "plugin-strings", {"action": "to_upper"}, (M("p", "/a//b//c", ("/value",), iterate=True),), 0, 1),))
+    few, many = {"a": [{"b": [{"c": "x"}] * 5}]}, {"a": [{"b": [{"c": "x"}] * 3}] * 2}
+    (ok, _, f), (out, _, g) = run(spark, unit, few, many)
+    assert f is None and ok["n-/result[0][4]"] == "X" and "6 items" in g and not [k for k in out if k.startswith("n-")]
+
+
+def test_deep_objects_come_out_flat(spark):
+    doc = {"a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": {"i": 1, "j": {}}}, "k": [{"l": 2}]}}}}}}}
+    unit = Unit("p", (NodeDef("n", "plugin-simple-condition", {"manual_inputs": [{"name": "v.a.b", "operator": "is_not_empty"}]}, (M("p", "", ("/v",)),), 0, 1),))
+    ((out, ev, _),) = run(spark, unit, doc)
+    assert out["p-/a/b/c/d/e/f/g/h/i"] == 1 and out["p-/a/b/c/d/e/f/g/h/j"] == {} and out["p-/a/b/c/d/e/f/k"] == [{"l": 2}]
+    assert out["n-/true/v/a/b/c/d/e/f/g/h/i"] == 1 and out["n-/false"] is None and set(ev) >= {"p-/error", "n-/error"} and "p-/a/b/c/d/e/f/k" not in ev
+
+
 def resolved(spark, mappings, rows):
     df = spark.createDataFrame([("w", "r", n, s, json.dumps(d)) for n, s, d in rows], "workflow_id string, run_id string, node_id string, status string, j string").withColumn("data", F.parse_json("j"))
     r = resolve.documents_by_run(df).select(resolve.resolve(F.col("sources"), mappings).alias("o")).select(F.to_json("o.data").alias("d"), "o.error").first()

@@ -2,7 +2,9 @@
 
 A node is a function of (input VARIANT, settings) that gives a struct (data, error,
 errorDescription). ``register`` adds one's own under a plug-in type; a Python function
-over documents can be wrapped with ``python_node``.
+over documents can be wrapped with ``python_node``. A ``shaped`` node reads the members
+it needs from an ``Input`` and gives members of known types, so that values pass from
+node to node without a VARIANT in between.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 
 from weft import paths
 from weft.functions import bind, conditions, dates, strings
+from weft.functions.inputs import Input, Made, Value, null
 from weft.operators import issues as I  # noqa: E741
 from weft.operators import json_schema as J
 
@@ -32,6 +35,30 @@ def register(kind: str) -> Callable[[Node], Node]:
     return put
 
 
+def shaped(kind: str, prepare: Callable[[Input, dict], Column] | None = None) -> Callable[[Callable], Node]:
+    """Registers a function of (Input, settings, prepared) to ``Made``; ``prepare`` makes what it uses more than once.
+
+    As a node it can be used on a VARIANT column, too.
+    """
+
+    def put(make: Callable[[Input, dict, Column | None], Made]) -> Node:
+        def node(v: Column, settings: dict) -> Column:
+            given = Input(v)
+            whole = lambda p: result(*_document_of(make(given, settings, p)))
+            return whole(None) if prepare is None else bind(prepare(given, settings), whole)
+
+        node.make, node.prepare = make, prepare
+        NODES[kind] = node
+        return node
+
+    return put
+
+
+def _document_of(made: Made) -> tuple[Column, Column | None]:
+    pairs = [F.when(x.col.isNotNull() if k in made.optional else F.lit(True), F.struct(F.lit(k).alias("key"), F.coalesce(x.variant(), null()).alias("value"))) for k, x in made.members.items()]
+    return J._to_object(F.map_from_entries(F.filter(F.array(*pairs), lambda e: e.isNotNull()))), made.error
+
+
 def result(data: Column, error: Column | None = None) -> Column:
     """``error`` is a text, null where all went well."""
     error = F.lit(None).cast("string") if error is None else error
@@ -42,13 +69,12 @@ def document(**members: Column) -> Column:
     """An object of VARIANT members; a null one is a JSON null."""
     if not members:
         return J._to_object(J._empty_map())
-    null = F.parse_json(F.lit("null"))
-    return J._to_object(F.map_from_arrays(F.array(*[F.lit(k) for k in members]), F.array(*[F.coalesce(v, null) for v in members.values()])))
+    return J._to_object(F.map_from_arrays(F.array(*[F.lit(k) for k in members]), F.array(*[F.coalesce(v, null()) for v in members.values()])))
 
 
 def variant(x: Column) -> Column:
-    """A scalar or array Column as VARIANT."""
-    return F.try_variant_get(F.call_function("to_variant_object", F.struct(x.alias("x"))), "$.x", "variant")
+    """A scalar Column, or an array of them, as VARIANT; a null is a JSON null."""
+    return F.coalesce(x.cast("variant"), null())
 
 
 def normalized_settings(raw: dict) -> dict:
@@ -60,73 +86,94 @@ def normalized_settings(raw: dict) -> dict:
     return out
 
 
-@register("plugin-strings")
-def strings_node(v: Column, settings: dict) -> Column:
+#: Types of the results of string actions other than text.
+_KINDS = {"split": "array<string>", "contains": "boolean", "length": "int", "regex_extract": "array<array<string>>"}
+
+
+def _texts(v: Input) -> Column:
+    """All texts among the members, by name."""
+    known = v.values()
+    if known is None:
+        each = F.transform(F.map_values(J.members(v.whole)), lambda x: Value(x).text())
+        return F.filter(each, lambda x: x.isNotNull())
+    return F.filter(F.array(*[x.text() for _, x in known]).cast("array<string>"), lambda x: x.isNotNull())
+
+
+def _formatted(v: Input, template: str) -> Column:
+    known = v.values()
+    put = lambda acc, k, x: F.replace(F.replace(acc, F.concat(F.lit("${"), k, F.lit("}")), F.coalesce(x, F.lit(""))), F.concat(F.lit("{"), k, F.lit("}")), F.coalesce(x, F.lit("")))
+    if known is None:
+        return F.aggregate(F.map_entries(J.members(v.whole)), F.lit(template), lambda acc, e: put(acc, e["key"], J.text_of(e["value"])))
+    out = F.lit(template)
+    for k, x in known:
+        out = put(out, F.lit(k), x.printed()) if x.kind != "variant" else F.when(x.col.isNull(), out).otherwise(put(out, F.lit(k), x.printed()))
+    return out
+
+
+@shaped("plugin-strings")
+def strings_node(v: Input, settings: dict, _: Column | None = None) -> Made:
     action = settings.get("action")
     if action not in strings.ACTIONS:
         raise ValueError(f"unknown action {action!r}")
     params = {k: x for k, x in settings.items() if k not in ("action", "manual_inputs", "label", "params")} | (settings.get("params") or {})
-    text = lambda name: F.when(J.kind_of(paths.member(v, name)) == "string", J.text_of(paths.member(v, name)))
-    inputs = {"value": text("value"), "string": text("string")}
+    inputs = {"value": v.at("value").text(), "string": v.at("string").text()}
     if action == "concatenate" and "parts" not in params or action == "join" and "items" not in params:
         # All text members, by name; an array of texts under "items" comes first for join.
-        every = F.filter(F.transform(F.map_values(J.members(v)), lambda x: F.when(J.kind_of(x) == "string", J.text_of(x))), lambda x: x.isNotNull())
+        every = _texts(v)
         if action == "join":
-            every = F.coalesce(F.filter(F.transform(J.elements(paths.member(v, "items")), J.text_of), lambda x: x.isNotNull()), every)
+            every = F.coalesce(F.filter(F.transform(J.elements(v.at("items").variant()), J.text_of), lambda x: x.isNotNull()), every)
         out = F.array_join(every, params.get("separator", ""))
     elif action == "format" and not params.get("data"):
-        out = F.aggregate(
-            F.map_entries(J.members(v)), F.lit(params.get("template", "")),
-            lambda acc, e: F.replace(F.replace(acc, F.concat(F.lit("${"), e["key"], F.lit("}")), F.coalesce(J.text_of(e["value"]), F.lit(""))), F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(J.text_of(e["value"]), F.lit(""))),
-        )
+        out = _formatted(v, params.get("template", ""))
     else:
         out = strings.ACTIONS[action](params, inputs)
     failed = F.when(out.isNull(), F.lit(f"{action}: input can't be decoded")) if action in ("base64_decode", "uri_decode") else None
-    return result(document(result=variant(out)), failed)
+    return Made({"result": Value(out, _KINDS.get(action, "string"))}, failed)
 
 
-@register("plugin-date-formatter")
-def date_node(v: Column, settings: dict) -> Column:
+def _reformatted(v: Input, settings: dict) -> Column:
     names = ("in_format", "out_format", "in_timezone", "out_timezone", "date_style", "time_style")
-    config = dates.DateFormat(*[settings.get(k) or "" for k in names])
-    x = paths.member(v, "date")
-    kind = F.coalesce(J.kind_of(x), F.lit("null"))
-    wrong = F.when(~kind.isin("string", "null"), F.concat(F.lit("date: expected string, got "), kind))
-    return bind(dates.reformat(J.text_of(x), config), lambda r: result(document(result=variant(r["result"])), F.coalesce(wrong, r["error"])))
+    return dates.reformat(J.text_of(v.at("date").variant()), dates.DateFormat(*[settings.get(k) or "" for k in names]))
 
 
-def _condition(c: conditions.Condition, v: Column) -> Column:
-    """The struct (met, warning, error) of a condition on a VARIANT document."""
-    at = paths.get(v, paths.Path((c.path,)))
+@shaped("plugin-date-formatter", _reformatted)
+def date_node(v: Input, settings: dict, r: Column | None) -> Made:
+    kind = F.coalesce(J.kind_of(v.at("date").variant()), F.lit("null"))
+    wrong = F.when(~kind.isin("string", "null"), F.concat(F.lit("date: expected string, got "), kind))
+    return Made({"result": Value(r["result"], "string")}, F.coalesce(wrong, r["error"]))
+
 
-    def one(x: Column) -> Column:
-        kind = J.kind_of(x)
-        text = F.when(kind.isin("object", "array"), F.to_json(x)).when(kind == "number", conditions._plain(J.text_of(x))).otherwise(F.coalesce(J.text_of(x), F.lit("")))
+def _condition(c: conditions.Condition, x: Column) -> Column:
+    """The struct (met, warning, error) of a condition on a VARIANT value."""
+    if c.operator in ("greater_than", "less_than", "greater_than_or_equal", "less_than_or_equal"):
+        a = F.when(F.schema_of_variant(x) != "BOOLEAN", F.try_variant_get(x, "$", "double"))
+        return conditions.evaluate(c, a, T.DoubleType(), x.isNotNull())
+    kind = F.coalesce(J.kind_of(x), F.lit("null"))
+    if c.operator in ("is_empty", "is_not_empty"):
         empty = (
-            F.when(x.isNull() | (kind == "null"), F.lit(True)).when(kind == "string", J.text_of(x) == "").when(kind == "number", F.try_variant_get(x, "$", "double") == 0)
+            F.when(kind == "null", F.lit(True)).when(kind == "string", J.text_of(x) == "").when(kind == "number", F.try_variant_get(x, "$", "double") == 0)
             .when(kind == "boolean", ~F.try_variant_get(x, "$", "boolean")).when(kind == "array", F.size(J.elements(x)) == 0).otherwise(F.lit(False))
         )
-        if c.operator in ("is_empty", "is_not_empty"):
-            return conditions._out(empty if c.operator == "is_empty" else ~empty)
-        return conditions.evaluate(c, F.when(kind != "null", text), T.StringType(), x.isNotNull())
+        return conditions._out(empty if c.operator == "is_empty" else ~empty)
+
+    def text(k: Column) -> Column:
+        said = F.when(k.isin("object", "array"), F.to_json(x)).when(k == "number", conditions._plain(J.text_of(x))).otherwise(F.coalesce(J.text_of(x), F.lit("")))
+        return conditions.evaluate(c, F.when(k != "null", said), T.StringType(), x.isNotNull())
 
-    return bind(at, one)
+    return bind(kind, text)
 
 
-@register("plugin-simple-condition")
-def condition_node(v: Column, settings: dict) -> Column:
+def _routed(v: Input, settings: dict) -> Column:
     raw = settings.get("manual_inputs") or []
     parts = [conditions.Condition(r["name"], r["operator"], r.get("value", ""), r.get("type") or "string") for r in raw]
-    logic = settings.get("logic_operator") or "AND"
-    null = F.parse_json(F.lit("null"))
+    return conditions.combine([_condition(c, v.at(*c.path).variant()) for c in parts], settings.get("logic_operator") or "AND")
 
-    def routed(r: Column) -> Column:
-        yes, no = F.coalesce(r["route"], F.lit(False)), F.coalesce(~r["route"], F.lit(False))
-        routes = {"true": F.when(yes, v).otherwise(null), "false": F.when(no, v).otherwise(null)}
-        plain = document(**routes)
-        return result(F.when(r["warning"].isNotNull(), document(warning=variant(r["warning"]), **routes)).otherwise(plain), r["error"])
 
-    return bind(conditions.combine([_condition(c, v) for c in parts], logic), routed)
+@shaped("plugin-simple-condition", _routed)
+def condition_node(v: Input, settings: dict, r: Column | None) -> Made:
+    whole = v.column()
+    to = lambda side: Value(F.when(F.coalesce(side, F.lit(False)), whole).otherwise(null()))
+    return Made({"false": to(~r["route"]), "true": to(r["route"]), "warning": Value(r["warning"], "string")}, r["error"], ("warning",))
 
 
 def _schema_of(settings: dict) -> J.Property | None:
@@ -185,29 +232,44 @@ def python_node(f: Callable[[dict], object]) -> Node:
     """A node from a Python function over documents, in Arrow batches.
 
     A result that is no object is wrapped as ``result``; None is the empty object; an exception is the node's error.
-    An input whose only member is ``input`` is handed over as that member. In a unit such a node
-    stands outside of iterations.
+    An input whose only member is ``input`` is handed over as that member. In a unit such a node can stand inside
+    iterations: it is then run on arrays of documents, item by item.
     """
 
-    def one(text: str | None) -> tuple[str | None, str | None]:
-        doc = json.loads(text) if text else {}
+    def node(v: Column, settings: dict) -> Column:
+        return answered(run_python(f, 0)(F.to_json(v)))
+
+    node.function = f
+    return node
+
+
+def answered(said: Column) -> Column:
+    """What a Python function said as (data, error, errorDescription)."""
+    return result(F.parse_json(F.when(said.startswith("+"), said.substr(F.lit(2), F.length(said)))), F.when(said.startswith("-"), said.substr(F.lit(2), F.length(said))))
+
+
+def run_python(f: Callable[[dict], object], levels: int):
+    """A function from texts of JSON, in arrays of so many levels, to ``+`` and JSON or ``-`` and an error; a null stays one."""
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        doc = json.loads(text)
         if isinstance(doc, dict) and list(doc) == ["input"]:
             doc = doc["input"]
         try:
             out = f(doc)
+            return "+" + json.dumps({} if out is None else out if isinstance(out, dict) else {"result": out})
         except Exception as e:  # noqa: BLE001  any failure of a user's code is data here
-            return None, f"{type(e).__name__}: {e}"
-        return json.dumps({} if out is None else out if isinstance(out, dict) else {"result": out}), None
+            return f"-{type(e).__name__}: {e}"
 
-    @F.pandas_udf("data string, error string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t) for t in texts], columns=["data", "error"])
+    def each(x, depth: int):
+        return one(x) if not depth else None if x is None else [each(y, depth - 1) for y in x]
 
-    run = run.asNondeterministic()  # so it stays in a projection of its own, and user code need not repeat itself
+    kind = "array<" * levels + "string" + ">" * levels
 
-    def node(v: Column, settings: dict) -> Column:
-        r = run(F.to_json(v))
-        return result(F.parse_json(r["data"]), r["error"])
+    @F.pandas_udf(kind)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: each(x, levels))
 
-    node.batch = True
-    return node
+    return run.asNondeterministic()  # so it stays in a projection of its own, and user code need not repeat itself

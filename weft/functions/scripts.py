@@ -1310,14 +1310,19 @@ def run_script(code: str, document: dict, settings: dict | None = None):
 @N.register("plugin-js")
 def script_node(v, settings: dict):
     """Runs ``script``; an object is the output, another value is its ``result``, nothing is the empty object."""
+    return N.python_node(script_function(settings))(v, settings)
+
+
+def script_function(settings: dict):
+    """The script as a function of the input document."""
     code = settings.get("script") or ""
     if not code.strip():
         raise ValueError("a script node needs a script")
     compile_script(code)  # a script that can't be read is found where the plan is built
-    return N.python_node(functools.partial(_run, code, {k: x for k, x in settings.items() if k != "script"}))(v, settings)
+    return functools.partial(_run, code, {k: x for k, x in settings.items() if k != "script"})
 
 
-script_node.batch = True
+script_node.function_of = script_function
 
 
 def _run(code: str, settings: dict, document):

@@ -15,27 +15,35 @@ from weft import paths
 from weft.functions import bind
 from weft.operators.json_schema import _to_array, _to_object, elements, members
 
-#: Objects are flattened down to this depth; what is deeper stays whole.
-MOST_DEPTH = 12
+ENTRIES = "array<struct<key:string,value:variant>>"
 
 
-def _is_object(v: Column) -> Column:
-    return members(v).isNotNull()
+def _is_open(v: Column) -> Column:
+    """Whether a value is an object with members."""
+    return F.coalesce(F.size(members(v)) > 0, F.lit(False))
 
 
-def _entries(v: Column, prefix: Column, depth: int) -> Column:
-    def one(e: Column) -> Column:
-        key = F.concat(prefix, F.lit("/"), e["key"])
-        leaf = F.array(F.struct(key.alias("key"), e["value"].alias("value")))
-        return leaf if depth == 1 else F.when(_is_object(e["value"]) & (F.size(members(e["value"])) > 0), _entries(e["value"], key, depth - 1)).otherwise(leaf)
+def _inner(v: Column, prefix: Column) -> Column:
+    return F.transform(F.map_entries(members(v)), lambda e: F.struct(F.concat(prefix, F.lit("/"), e["key"]).alias("key"), e["value"].alias("value")))
 
-    return F.flatten(F.transform(F.map_entries(members(v)), one))
 
+def flat_entries(v: Column, prefix: Column) -> Column:
+    """Entries (key, value) of an object's leaves at any depth, arrays and empty objects being leaves; none for anything else.
 
-def flatten(v: Column, node: str, root: bool = True, depth: int = 6) -> Column:
-    """A document as a map of ``node-/a/b`` to VARIANT; arrays stay whole. ``root`` adds the document itself under ``node-/``."""
-    own = F.array(F.struct(F.lit(f"{node}-/").alias("key"), v.alias("value"))) if root else F.array().cast("array<struct<key:string,value:variant>>")
-    return F.map_from_entries(F.concat(own, F.coalesce(_entries(v, F.lit(f"{node}-"), min(depth, MOST_DEPTH)), F.array().cast("array<struct<key:string,value:variant>>"))))
+    Objects are opened level by level until none is left. There are no more levels than objects in the value's schema.
+    """
+    first = F.coalesce(_inner(v, prefix), F.array().cast(ENTRIES))
+    more = lambda es: F.exists(es, lambda e: _is_open(e["value"]))
+    opened = lambda es: F.flatten(F.transform(es, lambda e: F.when(_is_open(e["value"]), _inner(e["value"], e["key"])).otherwise(F.array(e))))
+    levels = F.array_repeat(F.lit(0), F.size(F.split(F.schema_of_variant(v), "OBJECT<")))
+    step = lambda s, _: F.when(s["on"] & more(s["es"]), F.struct(opened(s["es"]).cast(ENTRIES).alias("es"), F.lit(True).alias("on"))).otherwise(F.struct(s["es"].cast(ENTRIES).alias("es"), F.lit(False).alias("on")))
+    return F.when(more(first), F.aggregate(levels, F.struct(first.cast(ENTRIES).alias("es"), F.lit(True).alias("on")), step)["es"]).otherwise(first)
+
+
+def flatten(v: Column, node: str, root: bool = True) -> Column:
+    """A document as a map of ``node-/a/b`` to VARIANT, at any depth; arrays stay whole. ``root`` adds the document itself under ``node-/``."""
+    inner = flat_entries(v, F.lit(f"{node}-"))
+    return F.map_from_entries(F.concat(F.array(F.struct(F.lit(f"{node}-/").alias("key"), v.alias("value"))), inner) if root else inner)
 
 
 def flatten_struct(node: str, schema: T.StructType, prefix: str = "") -> Column:

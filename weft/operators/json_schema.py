@@ -109,12 +109,8 @@ def compile_schema(schema: str | dict) -> Property:
 
 def kind_of(v: Column) -> Column:
     """object, array, string, number, boolean, null or other."""
-    name = F.lower(F.split_part(F.regexp_replace(F.schema_of_variant(v), r"[<(]", " "), F.lit(" "), F.lit(1)))
-    return (
-        F.when(name.isin("bigint", "tinyint", "smallint", "int", "double", "float", "decimal"), F.lit("number"))
-        .when(name == "void", F.lit("null"))
-        .otherwise(name)
-    )
+    name = F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+    return F.when(name.isin("BIGINT", "TINYINT", "SMALLINT", "INT", "DOUBLE", "FLOAT", "DECIMAL"), F.lit("number")).when(name == "VOID", F.lit("null")).otherwise(F.lower(name))
 
 
 def members(v: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -50,7 +51,7 @@ def parse_dotted(text: str) -> Path:
 
 
 def member(v: Column, name: str) -> Column:
-    return F.element_at(members(v), F.lit(name))
+    return _down(v, (name,))
 
 
 def get(v: Column, path: Path | str) -> Column:
@@ -64,8 +65,13 @@ def get(v: Column, path: Path | str) -> Column:
 
 
 def _down(v: Column, names: tuple[str, ...]) -> Column:
-    for n in names:
-        v = member(v, n)
+    """The member at the end of names, in one step; a name that the path of a VARIANT can't have takes a step of its own."""
+    for plain, run in itertools.groupby(names, key=lambda n: bool(n) and "'" not in n):
+        if plain:
+            v = F.try_variant_get(v, "$" + "".join(f"['{n}']" for n in run), "variant")
+        else:
+            for n in run:
+                v = F.element_at(members(v), F.lit(n))
     return v
 
 
