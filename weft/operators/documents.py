@@ -63,6 +63,23 @@ def flatten_struct(node: str, schema: T.StructType, prefix: str = "") -> Column:
     return F.create_map(*pairs)
 
 
+def flatten_items(v: Column, node: str) -> Column:
+    """Entries of a document's members, with the objects of its arrays opened by their place: ``node-/xs/0/name``."""
+
+    def one(e: Column) -> Column:
+        xs = elements(e["value"])
+        item = lambda x, i: F.when(_is_open(x), flat_entries(x, F.concat(e["key"], F.lit("/"), i.cast("string")))).otherwise(F.array(F.struct(F.concat(e["key"], F.lit("/"), i.cast("string")).alias("key"), x.alias("value"))))
+        return F.when(F.size(xs) > 0, F.flatten(F.transform(xs, item))).otherwise(F.array(e))
+
+    return F.flatten(F.transform(flat_entries(v, F.lit(f"{node}-")), one))
+
+
+def reindexed(m: Column) -> Column:
+    """The map with ``key[i]`` beside every key whose value is an array."""
+    each = F.transform(F.map_entries(m), lambda e: F.transform(F.coalesce(elements(e["value"]), F.array().cast("array<variant>")), lambda x, i: F.struct(paths.with_index(e["key"], i).alias("key"), x.alias("value"))))
+    return merge(m, F.map_from_entries(F.flatten(each)))
+
+
 def without_roots(m: Column) -> Column:
     return F.map_filter(m, lambda k, _: ~k.endswith("-/"))
 

@@ -75,13 +75,15 @@ def _found(sources: Column, m: Mapping) -> Column:
 
 
 def _indexed(flat: Column, key: str) -> Column:
-    """An array from ``key[0]``, ``key[1]``, ...; members at one place are merged, of scalars the first stays."""
+    """An array from ``key[0]``, ``key[1]``, ...; objects at one place are merged, of other values the first stays."""
     own = F.filter(F.map_entries(flat), lambda e: e["key"].startswith(f"{key}[") & (F.size(paths.key_index(e["key"])) == 1))
     rows = F.transform(own, lambda e: F.struct(F.get(paths.key_index(e["key"]), F.lit(0)).alias("i"), e["value"].alias("v")))
 
     def placed(es: Column) -> Column:
         most = F.array_max(F.transform(es, lambda e: e["i"]))
-        at = lambda i: F.get(F.transform(F.filter(es, lambda e: e["i"] == i), lambda e: e["v"]), F.lit(0))
+        there = lambda i: F.transform(F.filter(es, lambda e: e["i"] == i), lambda e: e["v"])
+        merged = lambda vs: F.aggregate(F.transform(vs, J.members), J._empty_map(), lambda acc, m: paths._merged(acc, m))
+        at = lambda i: bind(there(i), lambda vs: F.when((F.size(vs) > 1) & F.forall(vs, lambda v: J.members(v).isNotNull()), J._to_object(merged(vs))).otherwise(F.get(vs, F.lit(0))))
         return F.when(F.size(es) > 0, J._to_array(F.transform(F.sequence(F.lit(0), most), at)))
 
     return bind(rows, placed)
@@ -102,7 +104,7 @@ def _collection(sources: Column, fields: list[_Field]) -> tuple[Column, Column]:
     def build(s: Column) -> Column:
         arrays = [J.elements(s[f"v{k}"]) for k in range(len(ordered))]
         sizes = [F.when(a.isNotNull(), F.size(a)) for a in arrays]
-        n = F.coalesce(*sizes)
+        n = F.coalesce(*sizes)  # of the primary source, which iterated arrays must agree with
         wrong = F.lit(None).cast("string")
         for k, f in enumerate(ordered):
             if f.mapping.iterate:
@@ -116,7 +118,8 @@ def _collection(sources: Column, fields: list[_Field]) -> tuple[Column, Column]:
                 doc = bind(F.struct(doc.alias("d"), v.alias("v")), _put(f.names))
             return doc
 
-        rows = J._to_array(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), item))
+        most = F.array_max(F.array(*sizes))  # an array that is not iterated may be longer, and keeps its tail
+        rows = J._to_array(F.transform(F.when(most > 0, F.sequence(F.lit(0), most - 1)).otherwise(F.array().cast("array<int>")), item))
         return F.struct(F.when(n.isNotNull() & wrong.isNull(), rows).alias("rows"), wrong.alias("error"))
 
     made = bind(values, build)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft import paths
@@ -91,7 +91,6 @@ def s13_regex_extract(spark, sf_dir):
 
 _simple("s14_format", "nation", "n_nationkey", lambda: {"r": S.format_text("${name} ({key}) {other}", {"name": c("n_name"), "key": c("n_nationkey")})}, "concat(n_name, ' (', n_nationkey, ') {other}') AS r")
 _simple("s15_base64", "documents", "doc_id", lambda: {"e": S.base64_encode(c("text")), "same": S.base64_decode(S.base64_encode(c("text"))) == c("text")}, "base64(encode(text)) AS e, true AS same")
-_simple("s16_base64_decode", "orders", "o_orderkey", lambda: {"r": S.base64_decode(c("o_orderpriority"))}, "CAST(NULL AS VARCHAR) AS r")
 _simple("s17_uri_encode", "pages", "page_id", lambda: {"r": S.uri_encode(c("url"))}, "replace(url_encode(url), '%20', '+') AS r")
 _simple("s18_uri_decode", "pages", "page_id", lambda: {"r": S.uri_decode(S.uri_encode(c("url")))}, "url AS r")
 _simple(
@@ -165,7 +164,6 @@ _date("d06_ansic", D.DateFormat("DateTime", "ANSIC"), _stamp, "strftime(o_orderd
 _date("d06_compact_offset", D.DateFormat("DateTime", "CompactOffset"), _stamp, "strftime(o_orderdate, '%Y%m%d%H%M%S+0000')")
 _date("d07_date_style", D.DateFormat("DateTime", "DateOnly", date_style="DD/MM/YYYY"), _stamp, "strftime(o_orderdate, '%d/%m/%Y')")
 _date("d08_time_style", D.DateFormat("DateTime", "DateTime", date_style="MM-DD-YYYY", time_style="12h"), _stamp, "strftime(o_orderdate, '%m-%d-%Y %I:%M:%S %p')")
-_date("d01_invalid", D.DateFormat("RFC3339", "DateOnly"), lambda: c("o_orderpriority"), "CAST(NULL AS VARCHAR)")
 
 
 @query("SELECT event_id, strftime(timezone('America/New_York', timezone('UTC', ts)), '%Y-%m-%d %H:%M:%S') AS r FROM events")
@@ -247,11 +245,6 @@ def v14_array_rules(spark, sf_dir):
     return out.select("conv_id", "n", has("MAX_ITEMS").alias("too_many"), has("DUPLICATE_ITEM").alias("doubled"))
 
 
-@query(r"SELECT page_id, regexp_matches(url, '^(http://|https://|ftp://|ws://|wss://)') AS uri, false AS email, regexp_matches(url, '\.html$') AS html FROM pages")
-def v09_formats(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", J.FORMATS["uri"](c("url")).alias("uri"), J.FORMATS["email"](c("url")).alias("email"), c("url").rlike(r"\.html\z").alias("html"))
-
-
 @query("SELECT o_orderkey, CASE WHEN strftime(o_orderdate, '%Y-%m-%d') < '1994-01-01' THEN 'MIN_DATE' WHEN strftime(o_orderdate, '%Y-%m-%d') > '1996-12-31' THEN 'MAX_DATE' END AS code FROM orders")
 def v12_dates(spark, sf_dir):
     schema = {"type": "OBJECT", "properties": {"d": {"type": "DATE", "validation": {"format": "date", "minDate": "1994-01-01", "maxDate": "1996-12-31"}}}}
@@ -530,18 +523,6 @@ def t04_redelivery(spark, sf_dir):
     return messages.result_rows(rows, error_type="kind").select("event_id", "status", c("error.retryable").alias("again"))
 
 
-@query("SELECT event_type, count(*) AS processed, count(*) FILTER (WHERE coalesce(value, 0) > 50) AS met FROM events GROUP BY event_type")
-def a11_metrics(spark, sf_dir):
-    out = flagship(spark, sf_dir).join(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
-    return out.groupBy("event_type").agg(F.count("*").alias("processed"), F.count_if("met").alias("met"))
-
-
-@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS n FROM conversations")
-def a08_instance_numbers(spark, sf_dir):
-    w = Window.partitionBy("conv_id", "role").orderBy("turn", "text")
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.row_number().over(w).cast("long").alias("n"))
-
-
 @query("SELECT event_id, event_type || '!' AS result FROM events")
 def u01_python_node(spark, sf_dir):
     node = N.python_node(lambda d: {"result": d["type"] + "!"})
@@ -634,10 +615,9 @@ def t01_stream(spark, sf_dir):
     """The unit as a streaming query that works off what is there; the batch tables are read back."""
     import uuid
 
-    from weft.streaming.runner import Runner
+    from weft.streaming.runner import Runner, shared_folder
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/streams"
-    place = f"{folder}/t01-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/t01-{uuid.uuid4().hex}"
     schema = read(spark, sf_dir, "events").schema
     unit = Unit("p", (NodeDef("up", "plugin-strings", {"action": "to_upper"}, (Mapping("p", "/type", ("/value",)),), 0, 1),))
 
@@ -657,3 +637,6 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+from weft import more_queries  # noqa: E402, F401  they register themselves

@@ -4,9 +4,10 @@ Each micro-batch is decoded, processed by the same plan as in batch, and written
 tables: results, retries, dead letters and events. Delivery is at least once: a batch may
 be written again after a failure, so every row has the batch's number and the readers
 take the last row per execution (``current``). What failed for a passing reason goes to
-the retry table with its attempt counted, and is read again as input; beyond
-``MOST_DELIVERIES`` attempts, or for a lasting reason, it is a dead letter. There is no
-time limit per row.
+the retry table with its attempt counted, and the next batch takes it in beside its own
+rows; beyond ``MOST_DELIVERIES`` attempts, or for a lasting reason, it is a dead letter.
+So what the last batch left to be tried again waits for one more batch. An observer is
+called with the failed rows of each batch. There is no time limit per row.
 """
 
 from __future__ import annotations
@@ -24,6 +25,15 @@ TABLES = ("results", "retries", "dead_letters", "events")
 Processor = Callable[[DataFrame], DataFrame]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share; where none is named, one below the warehouse if Spark runs in this one process."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not where and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return where or f"{spark.conf.get('spark.sql.warehouse.dir')}/streams"
+
+
 def chain(*steps: Processor) -> Processor:
     """Steps one after another, the first outermost."""
 
@@ -43,12 +53,15 @@ class Runner:
     folder: str
     key: str = "execution_id"
     most: int = MOST_DELIVERIES
+    observer: Callable[[DataFrame], None] | None = None
 
     def table(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
     def write(self, batch: DataFrame, number: int) -> None:
         rows = batch if "attempt" in batch.columns else batch.withColumn("attempt", F.lit(1))
+        again = self._left_over(rows.sparkSession, number)
+        rows = rows if again is None else rows.unionByName(again.select(*rows.columns))
         inputs = rows.columns
         done = self.process(rows)
         kind = "error_type" if "error_type" in done.columns else None
@@ -67,9 +80,19 @@ class Runner:
             for name, part in parts.items():
                 # One folder per batch: a batch that is written again replaces its own rows.
                 part.drop("batch").write.mode("overwrite").parquet(f"{self.table(name)}/batch={number}")
+            if self.observer is not None:
+                self.observer(done.where("status = 'failed'"))
         finally:
             done.unpersist()
 
+    def _left_over(self, spark: SparkSession, number: int) -> DataFrame | None:
+        """What the batch before left to be tried again; None if there is none."""
+        place = f"{self.table('retries')}/batch={number - 1}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return spark.read.parquet(place)
+
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Starts the query; ``availableNow=True`` works off what is there and ends."""
         return stream.writeStream.foreachBatch(self.write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
