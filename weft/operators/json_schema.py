@@ -135,24 +135,24 @@ def _string_issues(s: Column, rules: dict, path: Column) -> list[Column]:
     pairs = []
     if "minLength" in rules:
         k = int(rules["minLength"])
-        pairs.append((n < k, I.issue(path, F.concat(F.lit("length "), n.cast("string"), F.lit(f" is less than minimum {k}")), "MIN_LENGTH")))
+        pairs.append((n < k, I.issue(path, F.concat(n.cast("string"), F.lit(f" bytes long; at least {k} are wanted")), "MIN_LENGTH")))
     if "maxLength" in rules:
         k = int(rules["maxLength"])
-        pairs.append((n > k, I.issue(path, F.concat(F.lit("length "), n.cast("string"), F.lit(f" exceeds maximum {k}")), "MAX_LENGTH")))
+        pairs.append((n > k, I.issue(path, F.concat(n.cast("string"), F.lit(f" bytes long; {k} are the most")), "MAX_LENGTH")))
     if "pattern" in rules:
         try:
             ok = s.rlike(_whole(checked(rules["pattern"])))
-            pairs.append((~ok, I.issue(path, f"value does not match pattern '{rules['pattern']}'", "PATTERN_MISMATCH")))
+            pairs.append((~ok, I.issue(path, f"not of the pattern {rules['pattern']}", "PATTERN_MISMATCH")))
         except ValueError as e:
-            pairs.append((F.lit(True), I.issue(path, f"invalid regex pattern: {e}", "INVALID_PATTERN")))
+            pairs.append((F.lit(True), I.issue(path, f"the schema's pattern can't be used: {e}", "INVALID_PATTERN")))
     if "format" in rules:
         name = rules["format"]
         if name in FORMATS:
-            pairs.append((~FORMATS[name](s), I.issue(path, f"value does not match format '{name}'", "FORMAT_MISMATCH")))
+            pairs.append((~FORMATS[name](s), I.issue(path, f"not of the format {name}", "FORMAT_MISMATCH")))
         else:
-            pairs.append((F.lit(True), I.issue(path, f"unknown format validator: {name}", "UNKNOWN_FORMAT")))
+            pairs.append((F.lit(True), I.issue(path, f"the schema names a format that is not registered: {name}", "UNKNOWN_FORMAT")))
     if "enum" in rules:
-        pairs.append((~s.isin(*rules["enum"]), I.issue(path, F.concat(F.lit("value '"), s, F.lit(f"' not in allowed values {list(rules['enum'])}")), "ENUM_MISMATCH")))
+        pairs.append((~s.isin(*rules["enum"]), I.issue(path, F.concat(s, F.lit(f" is none of {', '.join(map(str, rules['enum']))}")), "ENUM_MISMATCH")))
     return pairs
 
 
@@ -161,13 +161,13 @@ def _byte_issues(s: Column, rules: dict, path: Column) -> list:
         return []
     raw = lambda x: F.when(x.rlike(r"^[A-Za-z0-9+/\r\n]*={0,2}[\r\n]*$") & (F.length(F.translate(x, "\r\n", "")) % 4 == 0), F.try_to_binary(x, F.lit("base64")))
     n = F.octet_length(F.coalesce(raw(s), raw(F.translate(s, "-_", "+/"))))
-    pairs = [(n.isNull(), I.issue(path, "invalid base64 encoding", "INVALID_BASE64"))]
+    pairs = [(n.isNull(), I.issue(path, "the text is no base64", "INVALID_BASE64"))]
     if "minLength" in rules:
         k = int(rules["minLength"])
-        pairs.append((n < k, I.issue(path, F.concat(F.lit("byte length "), n.cast("string"), F.lit(f" is less than minimum {k}")), "MIN_LENGTH")))
+        pairs.append((n < k, I.issue(path, F.concat(n.cast("string"), F.lit(f" bytes decoded; at least {k} are wanted")), "MIN_LENGTH")))
     if "maxLength" in rules:
         k = int(rules["maxLength"])
-        pairs.append((n > k, I.issue(path, F.concat(F.lit("byte length "), n.cast("string"), F.lit(f" exceeds maximum {k}")), "MAX_LENGTH")))
+        pairs.append((n > k, I.issue(path, F.concat(n.cast("string"), F.lit(f" bytes decoded; {k} are the most")), "MAX_LENGTH")))
     return pairs
 
 
@@ -181,15 +181,15 @@ def _array_issues(xs: Column, p: Property, path: Column) -> Column:
     n, pairs = F.size(xs), []
     if "minItems" in p.rules:
         k = int(p.rules["minItems"])
-        pairs.append((n < k, I.issue(path, F.concat(F.lit("array length "), n.cast("string"), F.lit(f" is less than minimum {k}")), "MIN_ITEMS")))
+        pairs.append((n < k, I.issue(path, F.concat(n.cast("string"), F.lit(f" items; at least {k} are wanted")), "MIN_ITEMS")))
     if "maxItems" in p.rules:
         k = int(p.rules["maxItems"])
-        pairs.append((n > k, I.issue(path, F.concat(F.lit("array length "), n.cast("string"), F.lit(f" exceeds maximum {k}")), "MAX_ITEMS")))
+        pairs.append((n > k, I.issue(path, F.concat(n.cast("string"), F.lit(f" items; {k} are the most")), "MAX_ITEMS")))
     parts = [I.issues_if(*pairs)] if pairs else []
     if p.rules.get("uniqueItems"):
         printed = F.transform(xs, lambda x: F.coalesce(text_of(x), F.to_json(x), F.lit("null")))
         again = bind(printed, lambda t: F.array_min(F.filter(F.transform(t, lambda x, i: F.when(F.array_position(t, x) < i + 1, i)), lambda i: i.isNotNull())))
-        parts.append(bind(again, lambda i: I.issues_if((i.isNotNull(), I.issue(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), "duplicate item found", "DUPLICATE_ITEM")))))
+        parts.append(bind(again, lambda i: I.issues_if((i.isNotNull(), I.issue(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), "an item before is the same", "DUPLICATE_ITEM")))))
     if p.items is not None:
         parts.append(F.flatten(F.transform(xs, lambda x, i: value_issues(x, p.items, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))))
     return I.gathered(*parts)
@@ -205,15 +205,15 @@ def _object_issues(m: Column, p: Property, path: Column) -> Column:
         at = F.concat(path, F.lit(f".{name}"))
         value = F.element_at(m, F.lit(name))
         found = bind(value, _issues_of(q, at))
-        missing = I.issues_if((F.lit(q.required), I.issue(at, "required field missing", "REQUIRED")))
+        missing = I.issues_if((F.lit(q.required), I.issue(at, "there is no such member, but it is required", "REQUIRED")))
         parts.append(F.when(F.map_contains_key(m, F.lit(name)), found).otherwise(missing))
     return I.gathered(*parts)
 
 
 def value_issues(v: Column, p: Property, path: Column) -> Column:
     """Findings of a value that is there."""
-    wrong = lambda want, kind: I.issues_if((F.lit(True), I.issue(path, F.concat(F.lit(f"expected {want}, got "), kind), "TYPE_MISMATCH")))
-    null = I.issues_if((F.lit(p.required), I.issue(path, "field is required", "REQUIRED")))
+    wrong = lambda want, kind: I.issues_if((F.lit(True), I.issue(path, F.concat(kind, F.lit(f" in the place of {want}")), "TYPE_MISMATCH")))
+    null = I.issues_if((F.lit(p.required), I.issue(path, "null, but required", "REQUIRED")))
     if p.type == "ANY":
         return F.when(F.coalesce(F.is_variant_null(v), F.lit(True)), null).otherwise(I.none())
     if p.type in _TEXTUAL:
@@ -223,9 +223,9 @@ def value_issues(v: Column, p: Property, path: Column) -> Column:
             pairs = _string_issues(x, p.rules, path)
             if p.type == "DATE":
                 if p.rules.get("minDate"):
-                    pairs.append((x < p.rules["minDate"], I.issue(path, F.concat(F.lit("date "), x, F.lit(f" is before minimum {p.rules['minDate']}")), "MIN_DATE")))
+                    pairs.append((x < p.rules["minDate"], I.issue(path, F.concat(x, F.lit(f" is earlier than {p.rules['minDate']}")), "MIN_DATE")))
                 if p.rules.get("maxDate"):
-                    pairs.append((x > p.rules["maxDate"], I.issue(path, F.concat(F.lit("date "), x, F.lit(f" is after maximum {p.rules['maxDate']}")), "MAX_DATE")))
+                    pairs.append((x > p.rules["maxDate"], I.issue(path, F.concat(x, F.lit(f" is later than {p.rules['maxDate']}")), "MAX_DATE")))
             return I.issues_if(*pairs)
 
         inner = bind(text_of(v), ok)
@@ -237,10 +237,10 @@ def value_issues(v: Column, p: Property, path: Column) -> Column:
             show = lambda y: F.format_string("%.6f", y)
             if "minimum" in p.rules:
                 k = float(p.rules["minimum"])
-                pairs.append((x < k, I.issue(path, F.concat(F.lit("value "), show(x), F.lit(f" is less than minimum {k:.6f}")), "MIN_VALUE")))
+                pairs.append((x < k, I.issue(path, F.concat(show(x), F.lit(f" is below {k:.6f}")), "MIN_VALUE")))
             if "maximum" in p.rules:
                 k = float(p.rules["maximum"])
-                pairs.append((x > k, I.issue(path, F.concat(F.lit("value "), show(x), F.lit(f" exceeds maximum {k:.6f}")), "MAX_VALUE")))
+                pairs.append((x > k, I.issue(path, F.concat(show(x), F.lit(f" is above {k:.6f}")), "MAX_VALUE")))
             return I.issues_if(*pairs)
 
         inner = bind(F.try_variant_get(v, "$", "double"), ok)
