@@ -118,6 +118,11 @@ def members(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
+def child(v: Column, name: str) -> Column:
+    """A member of an object; null for anything else, and where it is missing."""
+    return F.try_variant_get(v, f"$['{name}']", "variant") if name and "'" not in name else F.element_at(members(v), F.lit(name))
+
+
 def elements(v: Column) -> Column:
     """An array's elements as VARIANT; null for anything else."""
     return F.try_variant_get(v, "$", "array<variant>")
@@ -195,21 +200,19 @@ def _array_issues(xs: Column, p: Property, path: Column) -> Column:
     return I.gathered(*parts)
 
 
-def _issues_of(p: Property, path: Column) -> Callable[[Column], Column]:
-    return lambda v: value_issues(v, p, path)
-
-
-def _object_issues(m: Column, p: Property, path: Column) -> Column:
+def _object_issues(v: Column, p: Property, path: Column) -> Column:
     parts = []
     for name, q in (p.properties or {}).items():
         at = F.concat(path, F.lit(f".{name}"))
-        value = F.element_at(m, F.lit(name))
-        found = bind(value, _issues_of(q, at))
         missing = I.issues_if((F.lit(q.required), I.issue(at, "there is no such member, but it is required", "REQUIRED")))
-        parts.append(F.when(F.map_contains_key(m, F.lit(name)), found).otherwise(missing))
+        parts.append(bind(child(v, name), _member_issues(q, at, missing)))
     return I.gathered(*parts)
 
 
+def _member_issues(q: Property, at: Column, missing: Column) -> Callable[[Column], Column]:
+    return lambda x: F.when(x.isNull(), missing).otherwise(value_issues(x, q, at))
+
+
 def value_issues(v: Column, p: Property, path: Column) -> Column:
     """Findings of a value that is there."""
     wrong = lambda want, kind: I.issues_if((F.lit(True), I.issue(path, F.concat(kind, F.lit(f" in the place of {want}")), "TYPE_MISMATCH")))
@@ -257,7 +260,7 @@ def value_issues(v: Column, p: Property, path: Column) -> Column:
         inner = bind(elements(v), lambda x: _array_issues(x, p, path))
     else:
         want, kind = "object", "object"
-        inner = bind(members(v), lambda x: _object_issues(x, p, path))
+        inner = _object_issues(v, p, path)
     return bind(
         F.when(F.coalesce(F.is_variant_null(v), F.lit(True)), F.lit("null")).otherwise(kind_of(v)),
         lambda k: F.when(k == "null", null).when(k == kind, inner).otherwise(wrong(want, k)),
