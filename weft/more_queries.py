@@ -336,7 +336,7 @@ def a08_instance_numbers(spark, sf_dir):
     more = F.concat(c("raw"), F.lit("\r"), F.array_join(F.array_repeat(F.lit("obx|1|ST|a||b"), (c("c_custkey") % 4).cast("int")), "\r"))
     only = _hl7_messages(spark, sf_dir).select("c_custkey", F.regexp_replace(more, r"\rOBX[^\r]*", "").alias("raw"))
     rows = hl7.parse(only.select("c_custkey", F.replace("raw", F.lit("obx"), F.lit("OBX")).alias("raw")), "raw")
-    return rows.select("c_custkey", hl7.instances(c("message"), "OBX").cast("long").alias("n_obx"), hl7.instances(c("message"), "PID").cast("long").alias("n_pid"))
+    return rows.select("c_custkey", hl7.instances(c("message"), "OBX").cast("long").alias("n_obx"), hl7.instances(c("message"), "PID").cast("int").alias("n_pid"))
 
 
 def _run_twice(spark: SparkSession, sf_dir: str):
