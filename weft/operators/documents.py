@@ -170,7 +170,7 @@ def truncate_udf(level: int):
 
 def long_form(df: DataFrame, flat: str, *keep: str) -> DataFrame:
     """One row per flat key."""
-    each = df.select(*keep, F.explode(flat).alias("key", "value"))
+    each = df.select(*keep, F.explode_outer(flat).alias("key", "value")).where("key IS NOT NULL")  # see issues.exploded
     return each.select(*keep, paths.key_node(F.col("key")).alias("node_id"), paths.key_path(F.col("key")).alias("path"), paths.key_index(F.col("key")).alias("idx"), "value")
 
 
@@ -232,7 +232,7 @@ def fewest_brackets(df: DataFrame, flat: str, *keys: str) -> DataFrame:
     """Of keys that differ only in numbers inside the path, the one with the fewest; (keys, node_id, path, idx, value)."""
     from pyspark.sql import Window
 
-    rows = df.select(*keys, F.explode(flat).alias("key", "value"))
+    rows = df.select(*keys, F.explode_outer(flat).alias("key", "value")).where("key IS NOT NULL")  # see issues.exploded
     plain = F.regexp_replace(paths.key_path(F.col("key")), r"\[\d+\]", "")
     rows = rows.select(*keys, "key", paths.key_node(F.col("key")).alias("node_id"), plain.alias("path"), paths.key_index(F.col("key")).alias("idx"), "value")
     last = F.coalesce(F.get(F.reverse("idx"), F.lit(0)), F.lit(-1))

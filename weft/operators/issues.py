@@ -69,5 +69,9 @@ def summary(issues: Column) -> Column:
 
 
 def exploded(df: DataFrame, issues: str, *keep: str) -> DataFrame:
-    """One row per issue, with its number from 0."""
-    return df.select(*keep, F.posexplode(issues).alias("n", "issue")).select(*keep, "n", "issue.*")
+    """One row per issue, with its number from 0.
+
+    By the outer form: for the inner one the optimizer adds a filter on the array's size below all projections, which
+    computes the array there again with everything it is made of.
+    """
+    return df.select(*keep, F.posexplode_outer(issues).alias("n", "issue")).where("n IS NOT NULL").select(*keep, "n", "issue.*")

@@ -337,7 +337,7 @@ def m05_resolve(spark, sf_dir):
 
 
 def _values(df: DataFrame, key: str, column: str = "output") -> DataFrame:
-    rows = df.select(key, F.explode(column).alias("k", "v"))
+    rows = df.select(key, F.explode_outer(column).alias("k", "v")).where("k IS NOT NULL")  # see issues.exploded
     return rows.select(key, "k", F.try_variant_get("v", "$", "string").alias("v"))
 
 

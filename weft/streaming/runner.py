@@ -127,6 +127,6 @@ def lifecycle(df: DataFrame, nodes: list[str], key: str, output: str = "output")
     """(key, node_id, state, items) of each node that ran: ended with its errors gathered over items, or failed."""
     from weft import paths
 
-    each = df.select(key, F.explode(output).alias("k", "v")).where(F.col("k").rlike(r"-/error(\[\d+\])*$"))
+    each = df.select(key, F.explode_outer(output).alias("k", "v")).where(F.col("k").rlike(r"-/error(\[\d+\])*$"))
     rows = each.select(key, paths.key_node(F.col("k")).alias("node_id"), F.try_variant_get("v", "$", "boolean").alias("error")).where(F.col("node_id").isin(nodes))
     return rows.groupBy(key, "node_id").agg(F.count("*").alias("items"), F.count_if("error").alias("failed")).withColumn("state", F.when(F.col("failed") > 0, F.lit("failed")).otherwise(F.lit("ended")))
