@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +45,34 @@ def test_node(spark):
     node = N.NODES["plugin-js"](F.parse_json("j"), {"script": "if (input.a === null) throw new Error('no a'); return input.a * 2"})
     rows = df.select(node.alias("r")).select(F.to_json("r.data").alias("d"), "r.error", "r.errorDescription").collect()
     assert [r.d for r in rows] == ['{"result":4}', None, '{"result":8}'] and rows[1].error and "no a" in rows[1].errorDescription
+
+
+def test_python_runs_once_a_row(spark, tmp_path):
+    """However often the output is read."""
+    place = str(tmp_path / "calls")
+
+    def f(d):
+        with open(place, "a") as out:
+            out.write("x")
+        return {"a": d["a"], "b": 1}
+
+    node = N.python_node(f)(F.parse_json(F.concat(F.lit('{"a":'), F.col("id").cast("string"), F.lit("}"))), {})
+    rows = spark.range(5).select(node.alias("o")).select(F.try_variant_get("o.data", "$.a", "int").alias("a"), F.try_variant_get("o.data", "$.b", "int").alias("b"), "o.error").collect()
+    assert sorted(r.a for r in rows) == [0, 1, 2, 3, 4] and len(open(place).read()) == 5
+
+
+def test_answers_are_kept_where_they_always_hold(monkeypatch):
+    made = []
+    monkeypatch.setattr(S.Interpreter, "run", lambda self, *a, run=S.Interpreter.run: (made.append(1), run(self, *a))[1])
+    for code, runs in (("return input.x", 1), ("return Math.random()", 3), ("return Date.now() > 0", 3), ("return new Date('2024-01-05').getTime()", 1), ("throw new Error('e')", 1)):
+        made.clear()
+        run = N.run_python(S.script_function({"script": code}), 0).func
+        out = run(pd.Series(['{"x":1}', '{"x":1}', None, '{"x":1}']))
+        assert len(made) == runs and out[2] is None and out[0][0] in "+-"
+
+
+def test_scripts_do_not_change_each_other():
+    with pytest.raises(S.ScriptError):
+        S.run_script("Math.PI = 3; return 1", {})
+    assert S.run_script("Math = 3; NaN = 1; return Math + NaN", {}) == 4
+    assert S.run_script("return Math.floor(2.5) + ':' + NaN", {}) == "2:NaN"

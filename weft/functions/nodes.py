@@ -24,6 +24,7 @@ from weft.operators import issues as I  # noqa: E741
 from weft.operators import json_schema as J
 
 Node = Callable[[Column, dict], Column]
+MOST_KEPT, LONGEST_KEPT = 10_000, 1000
 NODES: dict[str, Node] = {}
 
 
@@ -237,7 +238,7 @@ def python_node(f: Callable[[dict], object]) -> Node:
     """
 
     def node(v: Column, settings: dict) -> Column:
-        return answered(run_python(f, 0)(F.to_json(v)))
+        return bind(run_python(f, 0)(F.to_json(v)), answered)  # once: every mention of the call would run it again
 
     node.function = f
     return node
@@ -249,11 +250,23 @@ def answered(said: Column) -> Column:
 
 
 def run_python(f: Callable[[dict], object], levels: int):
-    """A function from texts of JSON, in arrays of so many levels, to ``+`` and JSON or ``-`` and an error; a null stays one."""
+    """A function from texts of JSON, in arrays of so many levels, to ``+`` and JSON or ``-`` and an error; a null stays one.
+
+    Where the function says that its run was ``steady``, the answer to a short text is kept for the same text.
+    """
+    kept: dict[str, str] = {}
 
     def one(text: str | None) -> str | None:
         if text is None:
             return None
+        if (said := kept.get(text)) is not None:
+            return said
+        said = run_one(text)
+        if getattr(f, "steady", False) and len(kept) < MOST_KEPT and len(text) + len(said) < LONGEST_KEPT:
+            kept[text] = said
+        return said
+
+    def run_one(text: str) -> str:
         doc = json.loads(text)
         if isinstance(doc, dict) and list(doc) == ["input"]:
             doc = doc["input"]

@@ -534,8 +534,16 @@ def u01_python_node(spark, sf_dir):
 def _typed_events(spark: SparkSession, sf_dir: str, node: str, settings: dict, **members: Column) -> DataFrame:
     """A node over a document of each event: its output as ``o``."""
     doc = F.call_function("to_variant_object", F.struct(*[v.alias(k) for k, v in members.items()]))
-    rows = read(spark, sf_dir, "events").select("event_id", doc.alias("d"))
-    return rows.select("event_id", N.NODES[node](c("d"), settings).alias("o"))
+    events = read(spark, sf_dir, "events")
+    if hasattr(N.NODES[node], "function_of"):
+        events = _spread(events, "event_id")
+    return events.select("event_id", doc.alias("d")).select("event_id", N.NODES[node](c("d"), settings).alias("o"))
+
+
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all cores, where a file has fewer parts than that: for Python, which takes its time for each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 @query("SELECT event_id, upper(event_type) || '!' AS r, event_id % 2 = 0 AS failed FROM events")
