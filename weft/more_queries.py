@@ -216,9 +216,18 @@ def p12_documents_with_arrays(spark, sf_dir):
     return rows.select("n_nationkey", _text("d", "$.xs[0].t").alias("x"), _text("d", "$.xs[2].t").alias("y"), _text("d", "$.xs[1].t").alias("hole"), F.size(J.elements(paths.get(c("d"), "/xs"))).alias("n"))
 
 
+def _firsts(df: DataFrame, keys: list[str], more: list[str], value: str) -> DataFrame:
+    """A value of the first row with each of the keys and more, in the order of files and of their rows; its groups by the keys alone need no other shuffle."""
+    row = F.col("_metadata.row_index")
+    place = row if len(df.inputFiles()) == 1 else F.struct(F.col("_metadata.file_path").alias("file"), row.alias("row"))
+    rows = df.select(*keys, *more, value, place.alias("__place")).repartition(*keys)
+    return rows.groupBy(*keys, *more).agg(F.min_by(value, "__place").alias(value))
+
+
 @query("SELECT l_orderkey, i, f FROM (SELECT l_orderkey, max(l_linenumber) AS n, map_from_entries(list((l_linenumber, l_returnflag))) AS m FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem) GROUP BY l_orderkey), LATERAL (SELECT unnest(range(0, n + 1)) AS i), LATERAL (SELECT CASE WHEN i = 0 THEN NULL ELSE element_at(m, i::INT)[1] END AS f)")
 def a02_arrays_with_holes(spark, sf_dir):
-    rows = docs.collected(read(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"]), ["l_orderkey"], "l_linenumber", "l_returnflag")
+    lines = _firsts(read(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber"], "l_returnflag")
+    rows = docs.collected(lines, ["l_orderkey"], "l_linenumber", "l_returnflag")
     return rows.select("l_orderkey", F.posexplode("items").alias("i", "f")).select("l_orderkey", c("i").cast("long").alias("i"), "f")
 
 
