@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,7 +67,7 @@ def test_answers_are_kept_where_they_always_hold(monkeypatch):
     for code, runs in (("return input.x", 1), ("return Math.random()", 3), ("return Date.now() > 0", 3), ("return new Date('2024-01-05').getTime()", 1), ("throw new Error('e')", 1)):
         made.clear()
         run = N.run_python(S.script_function({"script": code}), 0).func
-        out = run(pd.Series(['{"x":1}', '{"x":1}', None, '{"x":1}']))
+        out = run(pa.array(['{"x":1}', '{"x":1}', None, '{"x":1}'])).to_pylist()
         assert len(made) == runs and out[2] is None and out[0][0] in "+-"
 
 
@@ -76,3 +76,13 @@ def test_scripts_do_not_change_each_other():
         S.run_script("Math.PI = 3; return 1", {})
     assert S.run_script("Math = 3; NaN = 1; return Math + NaN", {}) == 4
     assert S.run_script("return Math.floor(2.5) + ':' + NaN", {}) == "2:NaN"
+
+
+def test_arrays_of_documents(spark):
+    """Nulls and empty arrays at each level stay what they are, in a part of a batch, too."""
+    run = N.run_python(S.script_function({"script": "return input.x"}), 2)
+    xs = [[['{"x":1}', None], [], None, ['{"x":2}']], None, [], [None, ['{"x":3}']]]
+    want = [[['+{"result": 1}', None], [], None, ['+{"result": 2}']], None, [], [None, ['+{"result": 3}']]]
+    assert run.func(pa.array(xs)).to_pylist() == want and run.func(pa.array([[["no"]], *xs]).slice(1)).to_pylist() == want
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "k int, x array<array<string>>").select("k", run("x").alias("r")).collect()
+    assert [r.r for r in sorted(rows)] == want

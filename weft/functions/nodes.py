@@ -12,7 +12,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -276,13 +278,17 @@ def run_python(f: Callable[[dict], object], levels: int):
         except Exception as e:  # noqa: BLE001  any failure of a user's code is data here
             return f"-{type(e).__name__}: {e}"
 
-    def each(x, depth: int):
-        return one(x) if not depth else None if x is None else [each(y, depth - 1) for y in x]
+    def each(x: pa.Array, depth: int) -> pa.Array:
+        if not depth:
+            return pa.array([one(y) for y in x.to_pylist()], pa.string())
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        starts = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        return pa.ListArray.from_arrays(starts, each(x.flatten(), depth - 1), mask=x.is_null())
 
     kind = "array<" * levels + "string" + ">" * levels
 
-    @F.pandas_udf(kind)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: each(x, levels))
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        return each(texts, levels)
 
     return run.asNondeterministic()  # so it stays in a projection of its own, and user code need not repeat itself

@@ -35,7 +35,7 @@ def _text(x, path: str = "$"):
 
 def _items(rows: DataFrame, key: str, node: str, path: str) -> DataFrame:
     """(key, i, v) of a node's values in one iteration."""
-    got = _values(rows, key).where((paths.key_node(c("k")) == node) & (paths.key_path(c("k")) == path))
+    got = _values(rows, key).where(c("k").startswith(f"{node}-{path}") & (paths.key_node(c("k")) == node) & (paths.key_path(c("k")) == path))
     return got.select(key, F.get(paths.key_index(c("k")), F.lit(0)).cast("long").alias("i"), "v")
 
 

@@ -37,7 +37,7 @@ def flat_entries(v: Column, prefix: Column) -> Column:
     opened = lambda es: F.flatten(F.transform(es, lambda e: F.when(_is_open(e["value"]), _inner(e["value"], e["key"])).otherwise(F.array(e))))
     levels = F.array_repeat(F.lit(0), F.size(F.split(F.schema_of_variant(v), "OBJECT<")))
     step = lambda s, _: F.when(s["on"] & more(s["es"]), F.struct(opened(s["es"]).cast(ENTRIES).alias("es"), F.lit(True).alias("on"))).otherwise(F.struct(s["es"].cast(ENTRIES).alias("es"), F.lit(False).alias("on")))
-    return F.when(more(first), F.aggregate(levels, F.struct(first.cast(ENTRIES).alias("es"), F.lit(True).alias("on")), step)["es"]).otherwise(first)
+    return bind(first.cast(ENTRIES), lambda es: F.when(more(es), F.aggregate(levels, F.struct(es.alias("es"), F.lit(True).alias("on")), step)["es"]).otherwise(es))
 
 
 def flatten(v: Column, node: str, root: bool = True) -> Column:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft import paths
+from weft.functions import bind
 from weft.functions import nodes as N
 from weft.functions import scripts  # noqa: F401  its node type is registered
 from weft.functions.inputs import VARIANT, Input, Made, Value, null
@@ -503,8 +504,8 @@ def _flat(node: str, col: Column, shape: Shape, levels: int, index: tuple[Column
     flags = [entry(k, _flag(col[k])) for k in ("error", "errorDescription")]
     if shape.members is None:
         own = D.flat_entries(out.data(), F.lit(f"{node}-"))
-        has = F.exists(own, lambda e: e["key"] == f"{node}-/error")
-        whole = F.concat(own, F.when(has, none).otherwise(F.array(*flags)))
+        has = lambda es: F.exists(es, lambda e: e["key"] == f"{node}-/error")
+        whole = bind(own, lambda es: F.concat(es, F.when(has(es), none).otherwise(F.array(*flags))))
     else:
         parts = []
         for name, x in out.members():
